@@ -24,9 +24,16 @@ def p3_forms(spark: SparkSession, at: str) -> DataFrame:
     return consistent_form(_read(spark, at, "unit", "id", "text_ar", "text_norm"), ["text_ar", "text_norm"]).select("id", "text_ar_form", "text_norm_form")
 
 
+def p7_ids(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.tokens import encode_texts
+
+    return encode_texts(_read(spark, at, "documents", "doc_id", "text")).select("doc_id", "ids")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p7_ids": p7_ids,
 }
 
 SQL: dict[str, str] = {}
