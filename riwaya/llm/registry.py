@@ -30,10 +30,20 @@ def p7_ids(spark: SparkSession, at: str) -> DataFrame:
     return encode_texts(_read(spark, at, "documents", "doc_id", "text")).select("doc_id", "ids")
 
 
+def p8_containers(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.packing import pack
+    from riwaya.llm.tokens import count_tokens
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return pack(count_tokens(_read(spark, at, "documents", "doc_id", "source", "text")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p7_ids": p7_ids,
+    "p8_containers": p8_containers,
 }
 
 SQL: dict[str, str] = {}
