@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _read(spark: SparkSession, at: str, table: str, *columns: str) -> DataFrame:
@@ -12,6 +13,29 @@ def _read(spark: SparkSession, at: str, table: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
+def _names(spark: SparkSession, at: str) -> DataFrame:
+    fields = ("muhaddith", "rawi", "book")
+    rows = _read(spark, at, "grading", *fields)
+    listed = F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("name")) for c in fields])
+    return rows.select(F.explode(listed).alias("x")).select("x.*")
+
+
+def p1_found(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.names import variant_pairs
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return variant_pairs(_names(spark, at))
+
+
+def p1_entities(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.names import resolve
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return resolve(_names(spark, at))
+
+
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.llm.forms import lookalike_pairs
 
@@ -40,6 +64,8 @@ def p8_containers(spark: SparkSession, at: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_entities": p1_entities,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
     "p7_ids": p7_ids,
