@@ -36,6 +36,34 @@ def p1_entities(spark: SparkSession, at: str) -> DataFrame:
     return resolve(_names(spark, at))
 
 
+def p2_found(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.grades import map_values
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return map_values(_read(spark, at, "grading", "grade"), _read(spark, at, "grade_ref")).select("grade", "ref_id")
+
+
+#: What makes two rulings the same.
+RULING = {"unit_id": "exact", "book": "exact", "muhaddith": "bag", "page": "page", "grade": "sequence"}
+
+
+def p5_found(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.copies import hidden_copies
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return hidden_copies(_read(spark, at, "grading", "id", *RULING), "id", RULING)
+
+
+def p5_rulings(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.copies import collapse
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return collapse(_read(spark, at, "grading", "id", *RULING), "id", RULING)
+
+
 def p3_found(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.llm.forms import lookalike_pairs
 
@@ -66,8 +94,11 @@ def p8_containers(spark: SparkSession, at: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p5_found": p5_found,
+    "p5_rulings": p5_rulings,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
 }
