@@ -91,6 +91,22 @@ def p8_containers(spark: SparkSession, at: str) -> DataFrame:
     return pack(count_tokens(_read(spark, at, "documents", "doc_id", "source", "text")))
 
 
+def _repaired(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.mojibake import repair
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return repair(_read(spark, at, "documents", "doc_id", "text", "source"))
+
+
+def p9_found(spark: SparkSession, at: str) -> DataFrame:
+    return _repaired(spark, at).filter("found").select(F.col("id").alias("doc_id"))
+
+
+def p9_restored(spark: SparkSession, at: str) -> DataFrame:
+    return _repaired(spark, at).filter("found").select(F.col("id").alias("doc_id"), "whole", "restored")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_entities": p1_entities,
@@ -101,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_rulings": p5_rulings,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
+    "p9_found": p9_found,
+    "p9_restored": p9_restored,
 }
 
 SQL: dict[str, str] = {}
