@@ -44,6 +44,14 @@ def p2_found(spark: SparkSession, at: str) -> DataFrame:
     return map_values(_read(spark, at, "grading", "grade"), _read(spark, at, "grade_ref")).select("grade", "ref_id")
 
 
+def p4_found(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.nearby import near_pairs
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return near_pairs(_read(spark, at, "unit", "id", "kind", "text_ar").filter("kind = 'hadith'"))
+
+
 #: What makes two rulings the same.
 RULING = {"unit_id": "exact", "book": "exact", "muhaddith": "bag", "page": "page", "grade": "sequence"}
 
@@ -113,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_forms": p3_forms,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_rulings": p5_rulings,
     "p7_ids": p7_ids,
