@@ -84,6 +84,34 @@ def p3_forms(spark: SparkSession, at: str) -> DataFrame:
     return consistent_form(_read(spark, at, "unit", "id", "text_ar", "text_norm"), ["text_ar", "text_norm"]).select("id", "text_ar_form", "text_norm_form")
 
 
+def _records(spark: SparkSession, at: str) -> DataFrame:
+    """Units and links under one number: twice the id, plus one for a link."""
+    unit = _read(spark, at, "unit").select((F.col("id") * 2).alias("rec"), F.col("text_ar").alias("text"))
+    link = _read(spark, at, "link").select((F.col("id") * 2 + 1).alias("rec"), F.col("evidence_ar").alias("text"))
+    return unit.unionByName(link)
+
+
+def _named(df: DataFrame) -> DataFrame:
+    rec = F.when(F.pmod("rec", F.lit(2)) == 0, F.lit("unit")).otherwise(F.lit("link"))
+    return df.select(rec.alias("rec"), F.floor(F.col("rec") / 2).cast("long").alias("rec_id"), *[c for c in df.columns if c != "rec"])
+
+
+def p6_found(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.spans import factors
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return _named(factors(_records(spark, at)).select("rec").distinct())
+
+
+def p6_shares(spark: SparkSession, at: str) -> DataFrame:
+    from riwaya.llm.spans import shared_text
+    from riwaya.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return _named(shared_text(_records(spark, at)))
+
+
 def p7_ids(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.llm.tokens import encode_texts
 
@@ -124,6 +152,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_rulings": p5_rulings,
+    "p6_found": p6_found,
+    "p6_shares": p6_shares,
     "p7_ids": p7_ids,
     "p8_containers": p8_containers,
     "p9_found": p9_found,
