@@ -95,6 +95,13 @@ def utf8_patterns() -> dict[str, re.Pattern]:
     return out
 
 
+@functools.cache
+def utf8_ends() -> dict[str, tuple[frozenset[str], frozenset[str]]]:
+    """For each shown page the characters that begin and that continue sequences of UTF-8."""
+    tables = byte_tables().items()
+    return {p: (frozenset(c for c, b in t.items() if 0xC2 <= b <= 0xF4), frozenset(c for c, b in t.items() if b <= 0xBF)) for p, t in tables}
+
+
 @functools.cache
 def sound() -> frozenset[str]:
     return frozenset(SOUND + LETTERS + MARKS + ARABIC_PUNCTUATION + "٠١٢٣٤٥٦٧٨٩٪٫٬")
@@ -116,7 +123,10 @@ PROVEN = 3
 def from_utf8(text: str, depth: int = 3) -> tuple[str, int]:
     """The text with UTF-8 passages decoded, and the number of sound characters that came out of them."""
     best, most = text, 0
+    there = set(text)
     for page, pattern in utf8_patterns().items():
+        if any(there.isdisjoint(x) for x in utf8_ends()[page]):
+            continue
         table, got, fine = byte_tables()[page], 0, _is_sound
 
         def put(m: re.Match, table=table, page=page) -> str:
@@ -146,6 +156,8 @@ def from_utf8(text: str, depth: int = 3) -> tuple[str, int]:
 SUSPECT = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]")
 ASCII_LETTER = re.compile("[A-Za-z]")
 ARABIC = re.compile("[ء-ي]")
+#: Without two such characters in a row no word is shown in another script.
+HIGH_RUN = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]{2}")
 FOREIGN = re.compile("[ -ª¬-º¼-ÿŒœƒٹپچڈڑژکگںھہے†-•‰‹›€™ˆ]")
 
 
@@ -266,7 +278,10 @@ def learn(pairs: np.ndarray, start: str, model: np.ndarray, rounds: int = 15) ->
 def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, str], str]) -> tuple[str, str, float, int] | None:
     """The page and start under which the document's passages are most Arabic, with the score and the number of letters."""
     best = None
+    other, mixed = HIGH_RUN.search(text), FOREIGN.search(text) and ARABIC.search(text)
     for page in SHOWN:
+        if not (mixed if page == "cp1256" else other):
+            continue
         spans = passages(text, page)
         raw = b"\0".join(shown_bytes(text[a:b], page) for a, b in spans)
         if not raw:
