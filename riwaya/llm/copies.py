@@ -10,7 +10,7 @@ smallest id by skipping comparison; rows that a collision brought together are
 grouped again by their exact content.
 
 Defined cases: null equals null only; '' and a value of mere punctuation are
-equal to each other and to nothing else. Null keys are keys like others. Combining
+equal to each other and to nothing else. A row without id is no copy and has none. Combining
 marks, tatweel and digit scripts count.
 """
 
@@ -20,7 +20,7 @@ import functools
 import string
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -163,20 +163,21 @@ def same_content(a: str | None, b: str | None, rule: str) -> bool:
     return rule != "sequence" and _content(a, rule) == _content(b, rule)
 
 
-def hidden_copies(df: DataFrame, id_column: str, rules: dict[str, str]) -> DataFrame:
+def hidden_copies(df: DataFrame, id_column: str, rules: dict[str, str], hasher: Callable[[pa.RecordBatch, dict[str, str]], np.ndarray] = content_hash) -> DataFrame:
     """(keep_id, copy_id): each row that isn't the smallest id of its group, with that smallest id.
 
     Groups are rows with equal content by ``rules``. Copies are counted before
     anything is shuffled by group; a group of any size is one row of the
     aggregate. Texts are fetched only for rows that have a partner.
     """
-    names = [*rules]
-    rows = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(n).cast("string").alias(n) for n in names])
+    names = [f"c{k}" for k in range(len(rules))]
+    rows = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), *[F.col(c).cast("string").alias(n) for c, n in zip(rules, names, strict=True)])
+    ruled = dict(zip(names, rules.values(), strict=True))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("id"))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(content_hash(batch, rules))], names=["id", "key"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(hasher(batch, ruled))], names=["id", "key"])
 
     hashed = rows.mapInArrow(keys, "id long, key long").checkpoint()
     least = hashed.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").select("key", "keep_id")
@@ -207,5 +208,5 @@ def collapse(df: DataFrame, id_column: str, rules: dict[str, str], copies: str =
     """One row for each group, that of the smallest id, with the number of rows of the group."""
     found = hidden_copies(df, id_column, rules)
     count = found.groupBy(F.col("keep_id").alias("_keep")).agg(F.count("*").alias("_more"))
-    kept = df.drop(copies).join(found.select(F.col("copy_id").alias("_copy")), F.col(id_column) == F.col("_copy"), "left_anti")
+    kept = df.drop(*[c for c in (copies, "_keep", "_more", "_copy") if c in df.columns]).join(found.select(F.col("copy_id").alias("_copy")), F.col(id_column) == F.col("_copy"), "left_anti")
     return kept.join(count, F.col(id_column) == F.col("_keep"), "left").withColumn(copies, F.coalesce("_more", F.lit(0)) + 1).drop("_keep", "_more")

@@ -49,7 +49,7 @@ INVISIBLE = (
     (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFF9, 0xFFFB), (0xE0000, 0xE0FFF),
 )
 #: Arabic letters that join only to the letter before them.
-RIGHT_JOINING = "آأؤإاةدذرزوىٱٲٳٵٶٷڈډڊڋڌڍڎڏڐڑڒړڔڕږڗژڙۀۃۄۅۆۇۈۉۊۋۍۏےۓەۮۯ"
+RIGHT_JOINING = "آأؤإاةدذرزوٱٲٳٵٶٷڈډڊڋڌڍڎڏڐڑڒړڔڕږڗژڙۀۃۄۅۆۇۈۉۊۋۍۏےۓەۮۯ"
 #: Arabic letters that never join.
 NON_JOINING = "ءٴ"
 # -------------------------------------------------------------------------

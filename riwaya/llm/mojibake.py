@@ -275,6 +275,32 @@ def learn(pairs: np.ndarray, start: str, model: np.ndarray, rounds: int = 15) ->
     return "".join(out), like / max(pairs.sum(), 1)
 
 
+def widened(text: str, spans: list[tuple[int, int]], cipher: str, model: np.ndarray) -> list[tuple[int, int]]:
+    """Passages of Arabic shown as other Arabic, with the words beside them that read better under the cipher."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    starts = {a: k for k, (a, _) in enumerate(words)}
+    inside = set()
+    for a, b in spans:
+        k = first = starts[a]
+        while k < len(words) and words[k][0] < b:
+            inside.add(k)
+            k += 1
+        for step, at in ((-1, first - 1), (1, k)):
+            while 0 <= at < len(words) and at not in inside:
+                raw = shown_bytes(text[slice(*words[at])], "cp1256")
+                if score(raw, cipher, model)[::2] <= score(raw, written_tables()["cp1256"], model)[::2]:
+                    break
+                inside.add(at)
+                at += step
+    out: list[tuple[int, int]] = []
+    for k in sorted(inside):
+        if out and k - 1 in inside:
+            out[-1] = (out[-1][0], words[k][1])
+        else:
+            out.append(words[k])
+    return out
+
+
 def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, str], str]) -> tuple[str, str, float, int] | None:
     """The page and start under which the document's passages are most Arabic, with the score and the number of letters."""
     best = None
@@ -376,7 +402,8 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                     fits = best is not None
                     if fits:
                         table = str.maketrans({c: cipher[b - 128] for c, b in byte_tables()[page].items() if cipher[b - 128] != "\0"})
-                        for a, b in reversed(passages(t, page)):
+                        spans = passages(t, page)
+                        for a, b in reversed(widened(t, spans, cipher, model) if page == "cp1256" else spans):
                             t = t[:a] + t[a:b].translate(table) + t[b:]
                 out.append((i, None if s == "\0" else s, bool(got or lost or fits), not lost, t))
             kinds = [batch.schema.types[0], pa.string(), pa.bool_(), pa.bool_(), pa.string()]

@@ -17,8 +17,7 @@ index. Both steps are exact; the pairs found are verified on the bags.
 
 Texts with equal bags are one until the end. Defined cases: a text without words
 (null, empty, only digits or Latin letters) is similar to none; repeated rows
-are texts of their own; rows with equal ids pair like others but never with
-themselves.
+are texts of their own, if their ids differ; rows without id are left out.
 """
 
 from __future__ import annotations
@@ -135,8 +134,7 @@ def block_keys(elements: np.ndarray, at: np.ndarray, heavy: np.ndarray, share: n
     n = np.diff(at)
     far, near = prefix_sizes(n)
     rank = np.arange(len(e)) - at[:-1][row]
-    small = n <= 6
-    closed = (part * texts <= BLOCK) | small[row]
+    closed = (part * texts <= BLOCK) | (n[row] == 1)
     single = (rank < far[row]) & closed
     rows, keys, index = [row[single]], [e[single]], [(rank < near[row])[single]]
     for r in np.unique(row[(rank < far[row]) & ~closed]):
@@ -144,7 +142,8 @@ def block_keys(elements: np.ndarray, at: np.ndarray, heavy: np.ndarray, share: n
         level = [((i,), shares[i]) for i in range(int(far[r])) if shares[i] * texts > BLOCK]
         for depth in range(1, DEPTH):
             grown = [((*c, j), s * shares[j]) for c, s in level for j in range(c[-1] + 1, min(int(far[r]) + depth, int(n[r])))]
-            done = [(c, s) for c, s in grown if s * texts <= BLOCK or depth == DEPTH - 1]
+            # texts of four words and more share DEPTH words at least with a similar one, shorter ones all of theirs
+            done = [(c, s) for c, s in grown if s * texts <= BLOCK or depth == DEPTH - 1 or len(c) == n[r]]
             level = [(c, s) for c, s in grown if s * texts > BLOCK]
             if done:
                 at_ = np.array([c for c, _ in done])
@@ -161,6 +160,11 @@ def block_keys(elements: np.ndarray, at: np.ndarray, heavy: np.ndarray, share: n
 FAN = (64, 16, 4)
 
 
+def _most_different(total: np.ndarray) -> np.ndarray:
+    """Bound on the different words of all pairs with up to ``total`` words; it never falls as ``total`` grows."""
+    return (DOWN - UP) * total // (UP + DOWN)
+
+
 def _nodes(start: np.ndarray, size: np.ndarray, fan: int, ones: np.ndarray, any_: np.ndarray, most: np.ndarray) -> tuple:
     """Nodes of up to ``fan`` neighbours in Gray order within each block: first row, end, and what their members share."""
     count = -(-size // fan)
@@ -211,7 +215,7 @@ def search_blocks(key: np.ndarray, prints: np.ndarray, n: np.ndarray, index: np.
             own = mask[node] if above is None else mask[node] & ~above
             spent = spent + _differ((prints[q] ^ ones[node]) & own)
             total = n[q] + most[node]
-            keep = (spent <= total - 2 * need(total)) & (end[node] > q + 1)
+            keep = (spent <= _most_different(total)) & (end[node] > q + 1)
             q, node, spent = q[keep], node[keep], spent[keep]
             above = mask[node]
             if depth + 1 < len(levels):
@@ -250,7 +254,7 @@ def _bag_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(one), pa.array(two), made], names=["id", "bag1", "bag2", "bag"])
             yield out.filter(pa.array(np.diff(ends) > 0))
 
-    return df.select(id_column, text).mapInArrow(run, f"id {kind}, bag1 long, bag2 long, bag array<long>")
+    return df.filter(F.col(id_column).isNotNull()).select(id_column, text).mapInArrow(run, f"id {kind}, bag1 long, bag2 long, bag array<long>")
 
 
 def near_pairs(df: DataFrame, id_column: str = "id", text: str = "text_ar", members: bool = True) -> DataFrame:

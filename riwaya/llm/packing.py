@@ -129,16 +129,17 @@ def pack(items: DataFrame, mixture: dict[str, float] | None = None, capacity: in
     rows = placed.select("part", "doc_id", "source", "n_tokens", F.lit(None).cast("double").alias("share"), F.lit(None).cast("double").alias("owed")).unionByName(owed)
 
     def run(table: pa.Table) -> pa.Table:
-        t = table.to_pandas()
-        ruled = t.share.notna().to_numpy()
-        names = t.source.fillna("\0").to_numpy()
-        number = np.unique(names.astype(str), return_inverse=True)[1]
-        share = dict(zip(number[ruled].tolist(), t.share[ruled].tolist(), strict=True))
-        debts = dict(zip(number[ruled].tolist(), t.owed[ruled].tolist(), strict=True))
-        ids, n, src = (x[~ruled] for x in (t.doc_id.to_numpy(), t.n_tokens.to_numpy().astype(np.int64), number))
-        order = np.argsort(ids, kind="stable")
-        ids, n, src = ids[order].astype(np.int64), n[order], src[order]
-        base = int(t.part.iloc[0]) * PART_IDS
+        share_of, owed_of = (table.column(c).to_numpy() for c in ("share", "owed"))
+        ruled = ~np.isnan(share_of)
+        sources = table.column("source").to_pandas().fillna("\0").astype(str).to_numpy()
+        number = np.unique(sources, return_inverse=True)[1]
+        share = dict(zip(number[ruled].tolist(), share_of[ruled].tolist(), strict=True))
+        debts = dict(zip(number[ruled].tolist(), owed_of[ruled].tolist(), strict=True))
+        ids = table.column("doc_id").filter(pa.array(~ruled)).combine_chunks()
+        n, src = table.column("n_tokens").to_numpy()[~ruled].astype(np.int64), number[~ruled]
+        order = np.lexsort((n, ids.fill_null(-(2**63)).to_numpy(zero_copy_only=False)))
+        ids, n, src = ids.take(pa.array(order)), n[order], src[order]
+        base = table.column("part")[0].as_py() * PART_IDS
         whole = n // capacity
         rest = n - whole * capacity
         some = np.flatnonzero(rest > 0)
@@ -148,7 +149,7 @@ def pack(items: DataFrame, mixture: dict[str, float] | None = None, capacity: in
         piece = np.arange(len(which)) - np.repeat(np.cumsum(whole) - whole, whole)
         nothing = np.flatnonzero(n == 0)
         out = {
-            "doc_id": np.concatenate([ids[some], ids[which], ids[nothing]]),
+            "doc_id": ids.take(pa.array(np.concatenate([some, which, nothing]))),
             "piece": np.concatenate([whole[some], piece, np.zeros(len(nothing), np.int64)]).astype(np.int32),
             "n_tokens": np.concatenate([rest[some], np.full(len(which), capacity), np.zeros(len(nothing), np.int64)]),
             "start": np.concatenate([whole[some] * capacity, piece * capacity, np.zeros(len(nothing), np.int64)]),
@@ -157,7 +158,7 @@ def pack(items: DataFrame, mixture: dict[str, float] | None = None, capacity: in
         place = np.concatenate([at, np.zeros(len(which) + len(nothing), np.int64)])
         none = np.zeros(len(container), bool)
         none[len(container) - len(nothing) :] = len(nothing) > 0
-        columns = [*(pa.array(v) for v in out.values()), pa.array(container, mask=none), pa.array(place, mask=none)]
+        columns = [out.pop("doc_id"), *(pa.array(v) for v in out.values()), pa.array(container, mask=none), pa.array(place, mask=none)]
         return pa.table(columns, names=["doc_id", "piece", "n_tokens", "start", "container", "place"])
 
     return rows.groupBy("part").applyInArrow(run, SCHEMA)

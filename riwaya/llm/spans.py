@@ -154,9 +154,9 @@ def factor_block(anchor: np.ndarray, rec: np.ndarray, pos: np.ndarray, piece: pa
         np.cumsum(table[a] == table[b], axis=1, out=equal[i : i + (1 << 16), 1:])
     same &= equal[back, place + LEAST] - equal[back, place] == LEAST
     row, place, source = row[same], place[same], source[same]
-    # greedy: neighbouring windows make one factor
+    # greedy: neighbouring windows of one source make one factor
     head = np.ones(len(row), bool)
-    head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+    head[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (source[1:] != source[:-1])
     start = np.flatnonzero(head)
     stop = np.concatenate([start[1:], [len(row)]]) - 1 if len(row) else start
     begin = pos[row[start]] - SIDE + place[start]
@@ -207,7 +207,7 @@ def _hot_factors(around: DataFrame) -> DataFrame:
 
 def factors(records: DataFrame, hot: int = HOT) -> DataFrame:
     """All factors (rec, start, end, source, source_start) of records (rec long, text string); factors of one record may overlap."""
-    long = records.filter(F.length("text") >= LEAST)
+    long = records.filter((F.length("text") >= LEAST) & F.col("rec").isNotNull()).select("rec", "text").distinct()
     seen = _anchor_rows(long).checkpoint()
     shared = seen.groupBy("anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("anchor", (F.col("n") > hot).alias("hot"))
     spots = seen.join(shared, "anchor").groupBy("rec").agg(F.collect_list(F.struct("anchor", "pos", "hot")).alias("spots"))
