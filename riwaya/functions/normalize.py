@@ -48,6 +48,17 @@ def compatibility(profile: str) -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), many
 
 
+def ranges(characters: str) -> str:
+    """Characters as the inside of a character class, neighbours drawn together: long lists of single ones are slow."""
+    out, points = [], sorted(map(ord, characters))
+    for c in points:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out)
+
+
 def _column(text: Column | str) -> Column:
     return F.col(text) if isinstance(text, str) else text
 
@@ -61,7 +72,7 @@ def normalize(text: Column | str, profile: str = "link") -> Column:
     c = F.translate(c, one_from, one_to)
     lookup = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
     spelled = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(lookup[x], x)), "")
-    c = F.when(c.rlike("[" + "".join(many) + "]"), spelled).otherwise(c)
+    c = F.when(c.rlike(f"[{ranges(''.join(many))}]"), spelled).otherwise(c)
     c = F.regexp_replace(c, f"[{STRIP[profile]}]", "")
     c = F.translate(c, FOLD_FROM[profile], FOLD_TO[profile])
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[^ء-ي ]+", " "), " +", " "))

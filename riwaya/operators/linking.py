@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,40 +14,48 @@ from riwaya.sources.readers import EDITION_NAMES, lookup
 MIN_WORDS = 5
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: a column used inside a lambda is computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def windows(words: Column, n: int) -> Column:
     """All runs of n words, from the left; [] for shorter texts."""
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
 
 
 def _windows_from(words: Column, least: int) -> Column:
     """All runs of ``least`` words or more, longest first, from the left."""
-    n = F.size(words)
-    sizes = F.when(n >= least, F.sequence(n, F.lit(least), F.lit(-1)))
-    return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))))
+
+    def of(w: Column) -> Column:
+        sizes = F.when(F.size(w) >= least, F.sequence(F.size(w), F.lit(least), F.lit(-1)))
+        return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
+
+    return let(words, of)
 
 
 def _interior(items: DataFrame, least: int) -> DataFrame:
-    """(item, gram, probe): each window of ``least`` words with the words strictly inside it."""
-    w = tokens_of(F.col("item_text"))
-    probe = F.explode(F.array_distinct(windows(w, least)))
-    return items.select("item", probe.alias("probe")).withColumn("gram", F.array_join(F.slice(F.split("probe", " "), 2, least - 2), " "))
+    """(item, probe, gram): each window of ``least`` words with the hash of the words strictly inside it."""
+    probe = F.explode(F.array_distinct(windows(tokens_of(F.col("item_text")), least)))
+    return items.select("item", probe.alias("probe")).withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("probe", " "), 2, least - 2), " ")))
 
 
 def containing(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(item, doc): a window of ``least`` words of the item stands in the document as a substring.
+    """(item, doc, doc_text): a window of ``least`` words of the item stands in the document as a substring.
 
     The first and last word of a window may be parts of words of the document,
-    the words between are whole words: they are joined by equality, and the
-    window is then looked for. Only numbers travel through the join's duplicate
-    removal; texts are joined where they are needed.
+    the words between are whole words: their hashes are joined, and the window
+    is then looked for in the text. Documents enter the join by number and hash
+    only; texts are fetched for the candidates.
     """
     if least < 3:
         raise ValueError("windows of three words at least")
-    probes = _interior(items, least)
-    grams = docs.select("doc", "doc_text", F.explode(F.array_distinct(windows(tokens_of(F.col("doc_text")), least - 2))).alias("gram"))
-    # grams of the items decide which texts are looked at at all
-    return grams.join(probes, "gram").filter(F.contains("doc_text", "probe")).select("item", "doc").distinct()
+    inside = F.explode(F.array_distinct(F.transform(windows(tokens_of(F.col("doc_text")), least - 2), lambda g: F.xxhash64(g))))
+    candidates = docs.select("doc", inside.alias("gram")).join(_interior(items, least), "gram").select("item", "probe", "doc")
+    sure = candidates.join(docs, "doc").filter(F.contains("doc_text", "probe"))
+    return sure.groupBy("item", "doc").agg(F.any_value("doc_text").alias("doc_text"))
 
 
 def find_quotations(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
@@ -53,7 +63,7 @@ def find_quotations(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -
 
     ``items`` is (item, item_text), ``docs`` (doc, doc_text), both in matching form.
     """
-    pairs = containing(items, docs, least).join(items, "item").join(docs, "doc")
+    pairs = containing(items, docs, least).join(items, "item")
     hits = F.filter(_windows_from(tokens_of(F.col("item_text")), least), lambda w: F.contains(F.col("doc_text"), w))
     return pairs.withColumn("quoted", hits[0]).select("item", "doc", "quoted", F.size(F.split("quoted", " ")).alias("quoted_words"))
 
@@ -64,7 +74,8 @@ def other_places(quotes: DataFrame, items: DataFrame) -> DataFrame:
     # a phrase is an item of its own here; its windows lead to the candidates
     keyed = phrases.select(F.col("quoted").alias("item"), F.col("quoted").alias("item_text"))
     where = containing(keyed, items.select(F.col("item").alias("doc"), F.col("item_text").alias("doc_text")))
-    sure = where.join(items.withColumnRenamed("item", "doc"), "doc").filter(F.contains("item_text", "item")).select(F.col("item").alias("quoted"), F.col("doc").alias("other"), "ref", "surah", "ayah")
+    place = items.select(F.col("item").alias("doc"), "ref", "surah", "ayah")
+    sure = where.filter(F.contains("doc_text", "item")).join(place, "doc").select(F.col("item").alias("quoted"), F.col("doc").alias("other"), "ref", "surah", "ayah")
     found = quotes.select("item", "quoted").distinct().join(sure, "quoted").filter("item <> other")
     also = F.transform(F.array_sort(F.collect_list(F.struct("surah", "ayah", "ref", "other"))), lambda x: x.ref)
     return found.groupBy("item", "quoted").agg(also.alias("also"))
