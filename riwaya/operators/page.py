@@ -31,20 +31,40 @@ def ranked_hadiths(links: DataFrame, units: DataFrame, sources: DataFrame) -> Da
     return rows.withColumn("place", F.row_number().over(order))
 
 
-def rulings_of(gradings: DataFrame) -> DataFrame:
-    """(unit_id, gradings): the rulings on each unit as an array, by scholar and id."""
+def rulings_in_order(gradings: DataFrame) -> DataFrame:
+    """Rulings with their place (``ruling_place``) among those on their unit, by scholar and id."""
+    order = Window.partitionBy("unit_id").orderBy("muhaddith", "id")
+    return gradings.withColumn("ruling_place", F.row_number().over(order))
+
+
+def page_counts(units: DataFrame, sources: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, source_name, tafsirs, hadiths) of each verse; counts only, so a verse with any number of links is one small row."""
+    kinds = links.select("from_unit", F.col("to_unit").alias("u")).join(units.select(F.col("id").alias("u"), F.col("kind").alias("linked")), "u")
+    n = kinds.groupBy(F.col("from_unit").alias("id")).agg(F.count_if(F.col("linked") == "tafsir").alias("tafsirs"), F.count_if(F.col("linked") == "hadith").alias("hadiths"))
+    verse = units.filter("kind = 'ayah'").select("id", "source_id").join(sources.select(F.col("id").alias("source_id"), F.col("name_ar").alias("source_name")), "source_id")
+    return verse.join(n, "id", "left").select("id", "source_name", F.coalesce("tafsirs", F.lit(0)).alias("tafsirs"), F.coalesce("hadiths", F.lit(0)).alias("hadiths"))
+
+
+def verse_pages(units: DataFrame, sources: DataFrame, links: DataFrame, gradings: DataFrame, verses: list[tuple[int, int]]) -> DataFrame:
+    """The pages of the given verses (surah, ayah), nested: commentaries, ranked narrations, their rulings ([] where none).
+
+    A page is one row with everything on it, so it is made for the verses that are
+    asked for. For all verses use the flat forms: :func:`ranked_hadiths`,
+    :func:`rulings_in_order`, :func:`page_counts`.
+    """
+    asked = F.lit(False)
+    for surah, ayah in verses:
+        asked = asked | ((F.col("surah") == surah) & (F.col("ayah") == ayah))
+    verse = units.filter((F.col("kind") == "ayah") & asked)
+    own = links.join(verse.select(F.col("id").alias("from_unit")), "from_unit", "left_semi")
+    hadiths = ranked_hadiths(own, units, sources)
     item = F.struct("muhaddith", "id", "book", "page", "grade", "explanation", "rawi", "url")
-    return gradings.groupBy("unit_id").agg(F.array_sort(F.collect_list(item)).alias("gradings"))
-
-
-def verse_pages(units: DataFrame, sources: DataFrame, links: DataFrame, gradings: DataFrame) -> DataFrame:
-    """One row for each verse: its commentaries and its ranked narrations with nested rulings ([] where none)."""
-    hadiths = ranked_hadiths(links, units, sources)
-    hadiths = hadiths.join(rulings_of(gradings), hadiths.to_unit == F.col("unit_id"), "left").withColumn("gradings", F.coalesce("gradings", F.array()))
+    rulings = gradings.join(hadiths.select(F.col("to_unit").alias("unit_id")), "unit_id", "left_semi").groupBy("unit_id").agg(F.array_sort(F.collect_list(item)).alias("gradings"))
+    hadiths = hadiths.join(rulings, hadiths.to_unit == F.col("unit_id"), "left").withColumn("gradings", F.coalesce("gradings", F.array()))
     item = F.struct("place", "to_unit", "source_name", "book_slug", "hadith_no", "text_ar", "locus_ar", "unit_url", "method", "evidence_ar", "ambiguous", "shared_with", "gradings")
     h = hadiths.groupBy("from_unit").agg(F.array_sort(F.collect_list(item)).alias("hadiths"))
-    t = linked_units(links, units, sources).filter("kind = 'tafsir'").groupBy("from_unit").agg(F.array_sort(F.collect_list(F.struct("edition", "to_unit", "source_name", "text_ar", "locus_ar", "unit_url"))).alias("tafsirs"))
-    verse = units.filter("kind = 'ayah'").join(sources.select(F.col("id").alias("source_id"), F.col("name_ar").alias("source_name")), "source_id")
+    t = linked_units(own, units, sources).filter("kind = 'tafsir'").groupBy("from_unit").agg(F.array_sort(F.collect_list(F.struct("edition", "to_unit", "source_name", "text_ar", "locus_ar", "unit_url"))).alias("tafsirs"))
+    verse = verse.join(sources.select(F.col("id").alias("source_id"), F.col("name_ar").alias("source_name")), "source_id")
     joined = verse.join(t, F.col("id") == t.from_unit, "left").drop("from_unit").join(h, F.col("id") == h.from_unit, "left").drop("from_unit")
     return joined.withColumns({"tafsirs": F.coalesce("tafsirs", F.array()), "hadiths": F.coalesce("hadiths", F.array())})
 
@@ -55,7 +75,8 @@ def disputed(gradings: DataFrame) -> DataFrame:
 
 
 def ruling_urls(gradings: DataFrame) -> DataFrame:
-    return gradings.groupBy("unit_id").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+    """Distinct (unit_id, url)."""
+    return gradings.select("unit_id", "url").distinct()
 
 
 def verse_order(surahs: DataFrame) -> DataFrame:

@@ -24,17 +24,26 @@ def text_hits(docs: DataFrame, needle: str, limit: int | None = 60, scope: str |
     return hits
 
 
+def _group_key() -> Column:
+    return F.substring(F.coalesce(F.when(F.col("sig") != "", F.col("sig")), F.col("snippet")), 1, 60)
+
+
+def grouped(hits: DataFrame) -> DataFrame:
+    """Hits with the key of their group: the text after the match."""
+    return hits.withColumn("key", _group_key())
+
+
 def group_hits(hits: DataFrame) -> DataFrame:
-    """(key, snippet, docs, n): hits with equal text after the match; the first hit's snippet, members in order."""
-    key = F.substring(F.coalesce(F.when(F.col("sig") != "", F.col("sig")), F.col("snippet")), 1, 60)
-    at = F.struct("book_pos", "doc_pos")
-    members = F.transform(F.array_sort(F.collect_list(F.struct("book_pos", "doc_pos", "doc"))), lambda x: x.doc)
-    return hits.withColumn("key", key).groupBy("key").agg(F.min(at).alias("first"), F.min_by("snippet", at).alias("snippet"), members.alias("docs"), F.count("*").alias("n"))
+    """(key, snippet, first_doc, n): groups of hits with equal text after the match, with the first hit's snippet.
+
+    Members are the rows of :func:`grouped`; they aren't gathered, as a group may be any size.
+    """
+    first = F.min(F.struct("book_pos", "doc_pos", "doc", "snippet")).alias("x")
+    return grouped(hits).groupBy("key").agg(first, F.count("*").alias("n")).select("key", "x.snippet", F.col("x.doc").alias("first_doc"), "n")
 
 
 def hit_statistics(hits: DataFrame) -> DataFrame:
-    key = F.substring(F.coalesce(F.when(F.col("sig") != "", F.col("sig")), F.col("snippet")), 1, 60)
-    return hits.agg(F.count_distinct(key).alias("groups"), F.count("*").alias("hits"))
+    return hits.agg(F.count_distinct(_group_key()).alias("groups"), F.count("*").alias("hits"))
 
 
 def quick_hits(branches: list[tuple[str, DataFrame]], needle: str, limit: int = 40) -> DataFrame:
@@ -51,10 +60,13 @@ def quick_hits(branches: list[tuple[str, DataFrame]], needle: str, limit: int =
 
 def paged(rows: DataFrame, order: list[Column], size: int, group: list[str] | None = None, least_pages: int = 1) -> DataFrame:
     """Rows with page (from 1), place on the page and the number of pages of their group."""
-    w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    n = F.row_number().over(w.orderBy(*order))
-    out = rows.withColumn("_n", n).withColumn("pages", F.greatest(F.lit(least_pages), F.ceil(F.count("*").over(w) / size)).cast("int"))
-    return out.withColumn("page", F.ceil(F.col("_n") / size).cast("int")).withColumn("place", ((F.col("_n") - 1) % size + 1).cast("int")).drop("_n")
+    group = group or []
+    n = F.row_number().over((Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order))
+    total = rows.groupBy(*group).agg(F.count("*").alias("_total"))
+    out = rows.withColumn("_n", n)
+    out = out.join(total, group) if group else out.withColumn("_total", F.lit(total.first()[0]))
+    out = out.withColumn("pages", F.greatest(F.lit(least_pages), F.ceil(F.col("_total") / size)).cast("int"))
+    return out.withColumn("page", F.ceil(F.col("_n") / size).cast("int")).withColumn("place", ((F.col("_n") - 1) % size + 1).cast("int")).drop("_n", "_total")
 
 
 def one_page(rows: DataFrame, order: list[Column], size: int, page: int, least_pages: int = 1) -> DataFrame:
@@ -94,11 +106,18 @@ def resolve_chain(chains: DataFrame, narrators: DataFrame) -> DataFrame:
     return named.withColumn("nth", F.row_number().over(w.orderBy("pos"))).withColumn("last", F.col("nth") == F.count("*").over(w)).drop("pos")
 
 
-def narrator_refs(narrators: DataFrame, books: DataFrame, most: int = 90) -> DataFrame:
-    """The first ``most`` references of each narrator with the book's name, or its slug; ``total`` counts all."""
-    r = narrators.select("key", F.size("h").alias("total"), F.posexplode(F.slice("h", 1, most)).alias("pos", "ref"))
-    r = r.withColumn("book", F.split("ref", ":")[0]).withColumn("number", F.split("ref", ":")[1])
-    return r.join(books.select(F.col("slug").alias("book"), "ar"), "book", "left").select("key", "pos", "number", F.coalesce("ar", "book").alias("book_name"), "total")
+def narrator_refs(refs: DataFrame, books: DataFrame, most: int = 90) -> DataFrame:
+    """The first ``most`` references (key, book, number) of each narrator with the book's name, or its slug; ``total`` counts all."""
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("book", "number"))
+    total = refs.groupBy("key").agg(F.count("*").alias("total"))
+    first = refs.withColumn("pos", nth).filter(F.col("pos") <= most).withColumn("pos", F.col("pos") - 1)
+    named = first.join(books.select(F.col("slug").alias("book"), "ar"), "book", "left")
+    return named.join(total, "key").select("key", "pos", "number", F.coalesce("ar", "book").alias("book_name"), "total")
+
+
+def split_refs(narrators: DataFrame) -> DataFrame:
+    """(key, book, number) of narrators (key, h array<"book:number">)."""
+    return narrators.select("key", F.explode("h").alias("ref")).select("key", F.split("ref", ":")[0].alias("book"), F.split("ref", ":")[1].cast("int").alias("number"))
 
 
 def top(rows: DataFrame, order: list[Column], k: int = 60) -> DataFrame:

@@ -153,16 +153,25 @@ def page_tafsirs(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def page_rulings(spark: SparkSession, at: str) -> DataFrame:
-    """The rulings nested in each verse's page, flattened."""
+    """The rulings on each narration of each verse's page, in order; a narration without rulings stays."""
     t = Tables(spark, at)
-    pages = page.verse_pages(t.unit, t.sources, t.link, t.grading).select("id", F.explode("hadiths").alias("h"))
-    return pages.select(F.col("id").alias("from_unit"), F.col("h.place").alias("place"), F.col("h.to_unit").alias("to_unit"), F.size("h.gradings").alias("rulings"), F.array_join(F.transform("h.gradings", lambda g: g.id.cast("string")), ",").alias("ruling_ids"))
+    hadiths = page.ranked_hadiths(t.link, t.unit, t.sources).select("from_unit", "place", "to_unit")
+    rulings = page.rulings_in_order(t.grading).select(F.col("unit_id").alias("to_unit"), "ruling_place", F.col("id").alias("ruling"))
+    return hadiths.join(rulings, "to_unit", "left")
 
 
 @query
 def page_counts(spark: SparkSession, at: str) -> DataFrame:
     t = Tables(spark, at)
-    return page.verse_pages(t.unit, t.sources, t.link, t.grading).select("id", "source_name", F.size("tafsirs").alias("tafsirs"), F.size("hadiths").alias("hadiths"))
+    return page.page_counts(t.unit, t.sources, t.link)
+
+
+@query
+def nested_pages(spark: SparkSession, at: str) -> DataFrame:
+    """The nested pages of some verses, with what stands on them counted."""
+    t = Tables(spark, at)
+    pages = page.verse_pages(t.unit, t.sources, t.link, t.grading, core_sql.VERSES)
+    return pages.select("id", "surah", "ayah", F.size("tafsirs").alias("tafsirs"), F.size("hadiths").alias("hadiths"), F.aggregate("hadiths", F.lit(0), lambda n, h: n + F.size(h.gradings)).alias("gradings"))
 
 
 @query
@@ -172,7 +181,7 @@ def disputed_flag(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def ruling_urls(spark: SparkSession, at: str) -> DataFrame:
-    return page.ruling_urls(Tables(spark, at).grading).select("unit_id", F.array_join("urls", " ").alias("urls"))
+    return page.ruling_urls(Tables(spark, at).grading)
 
 
 @query
@@ -290,8 +299,12 @@ def search_scoped(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def search_groups(spark: SparkSession, at: str) -> DataFrame:
-    groups = search.group_hits(search.text_hits(_search_docs(Tables(spark, at)), core_sql.NARROW, None))
-    return groups.select("key", "snippet", F.array_join(F.transform("docs", lambda d: d.cast("string")), ",").alias("docs"), "n")
+    return search.group_hits(search.text_hits(_search_docs(Tables(spark, at)), NEEDLE, None))
+
+
+@query
+def search_members(spark: SparkSession, at: str) -> DataFrame:
+    return search.grouped(search.text_hits(_search_docs(Tables(spark, at)), NEEDLE, None)).select("doc", "key")
 
 
 @query
@@ -382,10 +395,8 @@ def picked_books(spark: SparkSession, at: str) -> DataFrame:
 @query
 def narrator_refs(spark: SparkSession, at: str) -> DataFrame:
     t = Tables(spark, at)
-    heard = t.grading.filter("rawi is not null").select("rawi", "unit_id").distinct().join(t.kind("hadith").select(F.col("id").alias("unit_id"), "book_slug", "hadith_no"), "unit_id")
-    refs = F.transform(F.array_sort(F.collect_list(F.struct("book_slug", "hadith_no", "unit_id"))), lambda x: F.concat_ws(":", x.book_slug, x.hadith_no))
-    narrators = heard.groupBy(F.col("rawi").alias("key")).agg(refs.alias("h"))
-    return search.narrator_refs(narrators, t.books.filter("author is not null"))
+    heard = t.grading.filter("rawi is not null").select(F.col("rawi").alias("key"), "unit_id").join(t.kind("hadith").select(F.col("id").alias("unit_id"), F.col("book_slug").alias("book"), F.col("hadith_no").alias("number")), "unit_id")
+    return search.narrator_refs(heard.select("key", "book", "number").distinct(), t.books.filter("author is not null"))
 
 
 @query

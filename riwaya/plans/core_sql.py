@@ -7,7 +7,8 @@ from riwaya.functions import text as X
 from riwaya.functions.normalize import sql_normalize
 from riwaya.sources import readers
 
-NEEDLE, NARROW, QUICK, SCOPE = "الناس", "القافله", "في", "qafila"
+NEEDLE, QUICK, SCOPE = "الناس", "في", "qafila"
+VERSES = [(59, 6), (7, 29), (84, 12), (1, 1), (2, 3), (102, 16), (98, 32)]
 PICKS = [(1, "qafila", 1), (2, "nahr", 0), (3, "none", 1), (4, "wadi", 12), (5, "tall", 99)]
 GENERATIONS = ["Companion", "Follower (Tabi') [2nd Generation]", "Follower", "Succ. (Taba' Tabi') [3rd generation]", "3rd Century AH", "12th generation", "the Prophet", "تابعي", "unknown", "", None]
 MIN_WORDS = 5
@@ -114,12 +115,13 @@ FROM unit a JOIN unit t ON a.kind = 'ayah' AND t.kind = 'tafsir' AND a.surah = t
 coalesce(any_value(g.n), 0) AS gradings FROM link l LEFT JOIN (SELECT d.from_unit, count(*) AS n FROM (SELECT DISTINCT from_unit, to_unit FROM link WHERE relation = 'ayah_hadith') d JOIN grading ON unit_id = to_unit GROUP BY 1) g ON g.from_unit = l.from_unit GROUP BY 1""",
     "page_hadiths": f"WITH {RANKED} SELECT * FROM ranked",
     "page_tafsirs": "SELECT l.from_unit, row_number() OVER (PARTITION BY l.from_unit ORDER BY u.edition, l.to_unit, l.id) AS place, l.to_unit, u.edition, s.name_ar AS source_name FROM link l JOIN unit u ON u.id = l.to_unit JOIN sources s ON s.id = u.source_id WHERE u.kind = 'tafsir'",
-    "page_rulings": f"""WITH {RANKED}, g AS (SELECT unit_id, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY muhaddith, id) AS ids FROM grading GROUP BY 1)
-SELECT from_unit, place, to_unit, coalesce(n, 0) AS rulings, coalesce(ids, '') AS ruling_ids FROM ranked LEFT JOIN g ON unit_id = to_unit WHERE from_unit IN (SELECT id FROM unit WHERE kind = 'ayah')""",
+    "page_rulings": f"""WITH {RANKED} SELECT from_unit, place, to_unit, ruling_place, ruling FROM ranked LEFT JOIN (SELECT unit_id, id AS ruling, row_number() OVER (PARTITION BY unit_id ORDER BY muhaddith, id) AS ruling_place FROM grading) g ON unit_id = to_unit""",
+    "nested_pages": f"""SELECT u.id, u.surah, u.ayah, count(l.id) FILTER (v.kind = 'tafsir') AS tafsirs, count(l.id) FILTER (v.kind = 'hadith') AS hadiths, coalesce(sum(g.n) FILTER (v.kind = 'hadith'), 0)::INT AS gradings
+FROM unit u LEFT JOIN link l ON l.from_unit = u.id LEFT JOIN unit v ON v.id = l.to_unit LEFT JOIN (SELECT unit_id, count(*) AS n FROM grading GROUP BY 1) g ON g.unit_id = v.id WHERE u.kind = 'ayah' AND (u.surah, u.ayah) IN ({', '.join(map(str, VERSES))}) GROUP BY 1, 2, 3""",
     "page_counts": """SELECT u.id, s.name_ar AS source_name, count(l.id) FILTER (v.kind = 'tafsir') AS tafsirs, count(l.id) FILTER (v.kind = 'hadith') AS hadiths
 FROM unit u JOIN sources s ON s.id = u.source_id LEFT JOIN link l ON l.from_unit = u.id LEFT JOIN unit v ON v.id = l.to_unit WHERE u.kind = 'ayah' GROUP BY 1, 2""",
     "disputed_flag": f"SELECT unit_id, count(*) AS rulings, count(DISTINCT {white_trim('grade')}) AS grades, count(DISTINCT {white_trim('grade')}) > 1 AS disputed FROM grading GROUP BY 1",
-    "ruling_urls": "SELECT unit_id, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls FROM grading GROUP BY 1",
+    "ruling_urls": "SELECT DISTINCT unit_id, url FROM grading",
     "distinct_built": "SELECT DISTINCT surah FROM unit WHERE kind = 'ayah'",
     "unbuilt_refs": "SELECT n AS surah, a::INT AS ayah FROM surahs, range(1, verse_count + 1) t(a) WHERE NOT EXISTS (SELECT 1 FROM unit u WHERE u.kind = 'ayah' AND u.surah = n AND u.ayah = a)",
     "verse_lookup": "SELECT u.surah, u.ayah, u.id, s.name_ar, u.url FROM unit u JOIN sources s ON s.id = u.source_id WHERE u.kind = 'ayah' QUALIFY row_number() OVER (PARTITION BY u.surah, u.ayah ORDER BY u.id) = 1",
@@ -139,7 +141,8 @@ UNION ALL SELECT id, unit_id, muhaddith, book, page, grade FROM (SELECT * FROM g
     "search_top": f"WITH {hits(NEEDLE)} SELECT * FROM hits ORDER BY book, doc LIMIT 60",
     "search_all": f"WITH {hits(NEEDLE)} SELECT * FROM hits",
     "search_scoped": f"WITH {hits(NEEDLE)} SELECT doc, snippet FROM hits WHERE book = '{SCOPE}'",
-    "search_groups": f"WITH {hits(NARROW)} SELECT substr(coalesce(nullif(sig, ''), snippet), 1, 60) AS key, arg_min(snippet, (book, doc)) AS snippet, string_agg(doc::VARCHAR, ',' ORDER BY book, doc) AS docs, count(*) AS n FROM hits GROUP BY 1",
+    "search_groups": f"WITH {hits(NEEDLE)} SELECT substr(coalesce(nullif(sig, ''), snippet), 1, 60) AS key, arg_min(snippet, (book, doc)) AS snippet, arg_min(doc, (book, doc)) AS first_doc, count(*) AS n FROM hits GROUP BY 1",
+    "search_members": f"WITH {hits(NEEDLE)} SELECT doc, substr(coalesce(nullif(sig, ''), snippet), 1, 60) AS key FROM hits",
     "search_statistics": f"WITH {hits(NEEDLE)} SELECT count(DISTINCT substr(coalesce(nullif(sig, ''), snippet), 1, 60)) AS groups, count(*) AS hits FROM hits",
     "quick_hits": f"""WITH b AS (SELECT 0 AS branch, n AS pos, 'سورة' AS kind, 'سورة ' || ar AS title, rev || ' · ' || {digits('verse_count')} || ' آية' AS sub, 'tafsir.html#/' || n AS href, [ar] AS hay FROM surahs
 UNION ALL SELECT 1, row_number() OVER (ORDER BY slug), 'كتاب', ar, coalesce(author, ''), 'hadith.html#/' || slug, [ar, coalesce(author, '')] FROM books)
@@ -156,8 +159,8 @@ SELECT doc_id, (i - 1)::INT AS place, p[i] AS paragraph FROM q, range(1, len(p)
     "catalogue_totals": f"WITH {SECTIONS} SELECT count(DISTINCT book) AS books, sum(texts)::BIGINT AS texts, count(*) AS sections FROM sections",
     "section_names": f"WITH {SECTIONS} SELECT u.id, CASE WHEN s.texts > 2 THEN concat_ws(' ', s.book, s.section) ELSE '' END AS section_name FROM unit u JOIN sections s ON s.book = u.book_slug AND s.section = floor(u.hadith_no / 100)::INT WHERE u.kind = 'hadith'",
     "picked_books": f"WITH {SECTIONS}, c(pos, book, section) AS (VALUES {', '.join(map(str, PICKS))}) SELECT pos, book, section, texts FROM c JOIN sections USING (book, section)",
-    "narrator_refs": """WITH h AS (SELECT DISTINCT rawi, unit_id, book_slug, hadith_no FROM grading JOIN unit u ON u.id = unit_id AND u.kind = 'hadith' WHERE rawi IS NOT NULL), r AS (SELECT rawi AS key, book_slug, hadith_no, row_number() OVER (PARTITION BY rawi ORDER BY book_slug, hadith_no, unit_id) - 1 AS pos, count(*) OVER (PARTITION BY rawi) AS total FROM h)
-SELECT key, pos::INT AS pos, hadith_no::VARCHAR AS number, coalesce(b.ar, book_slug) AS book_name, total FROM r LEFT JOIN books b ON b.slug = book_slug AND b.author IS NOT NULL WHERE pos < 90""",
+    "narrator_refs": """WITH h AS (SELECT DISTINCT rawi AS key, book_slug, hadith_no FROM grading JOIN unit u ON u.id = unit_id AND u.kind = 'hadith' WHERE rawi IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY book_slug, hadith_no) - 1 AS pos, count(*) OVER (PARTITION BY key) AS total FROM h)
+SELECT key, pos::INT AS pos, hadith_no AS number, coalesce(b.ar, book_slug) AS book_name, total FROM r LEFT JOIN books b ON b.slug = book_slug AND b.author IS NOT NULL WHERE pos < 90""",
     "ruling_facts": "SELECT id, 0 AS pos, 'الراوي' AS label, rawi AS value FROM grading WHERE rawi <> '' UNION ALL SELECT id, 1, 'الصفحة', page FROM grading WHERE page <> '' UNION ALL SELECT id, 2, 'الشرح', explanation FROM grading WHERE explanation <> ''",
     "split_chains": f"WITH {PARTS} SELECT id, CASE WHEN len(parts) > 1 AND n > 0 AND n < len(parts) AND rest <> '' THEN {white_trim('''array_to_string(parts[1:n], '،') || '،' ''')} END AS isnad, CASE WHEN len(parts) > 1 AND n > 0 AND n < len(parts) AND rest <> '' THEN rest ELSE text_ar END AS matn FROM m",
     "chain_names": f"WITH {CHAIN} SELECT id, (i - 1)::INT AS place, names[i] AS name FROM cut, range(1, len(names) + 1) t(i)",

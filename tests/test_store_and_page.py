@@ -70,7 +70,7 @@ def pages(spark):
         "id long, from_unit long, to_unit long, relation string, method string, ambiguous boolean",
     ).selectExpr("*", "'e' AS evidence_ar", "array('x') AS shared_with")
     gradings = spark.createDataFrame([(1, 3, "z", "صحيح"), (2, 3, "a", "ضعيف")], "id long, unit_id long, muhaddith string, grade string").selectExpr("*", "'b' AS book", "cast(null AS string) AS page", "cast(null AS string) AS explanation", "cast(null AS string) AS rawi", "'u' AS url")
-    return {r.id: r for r in page.verse_pages(units, sources, links, gradings).collect()}
+    return {r.id: r for r in page.verse_pages(units, sources, links, gradings, [(2, 1), (2, 2), (3, 3)]).collect()}
 
 
 def test_page_ranks_and_shows_all_rulings(pages):

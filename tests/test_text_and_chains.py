@@ -77,8 +77,12 @@ def test_shard_is_the_32_bit_hash(spark, key):
 
 def test_groups_and_pages(spark):
     df = spark.createDataFrame([(k, "b", 0, k, f"s{k}", "same" if k % 2 else f"own{k}") for k in range(6)], "doc int, book string, book_pos int, doc_pos int, snippet string, sig string")
-    got = {r.key: (r.snippet, r.docs) for r in search.group_hits(df).collect()}
-    assert got["same"] == ("s1", [1, 3, 5]) and len(got) == 4
+    got = {r.key: (r.snippet, r.first_doc, r.n) for r in search.group_hits(df).collect()}
+    assert got["same"] == ("s1", 1, 3) and len(got) == 4
+    refs = search.split_refs(spark.createDataFrame([("k", [f"b:{n}" for n in range(95)]), ("l", ["c:1"])], "key string, h array<string>"))
+    named = search.narrator_refs(refs, spark.createDataFrame([("b", "ب")], "slug string, ar string")).collect()
+    assert len(named) == 91 and {(r.book_name, r.total) for r in named} == {("ب", 95), ("c", 1)}
+    assert {(r.page, r.place, r.pages) for r in search.paged(spark.range(31), [F.asc("id")], 15).filter("id in (0, 15, 30)").collect()} == {(1, 1, 3), (2, 1, 3), (3, 1, 3)}
     rows = spark.range(40)
     assert [r.id for r in search.one_page(rows, [F.asc("id")], 15, 99).collect()] == list(range(30, 40))
     assert [r.id for r in search.one_page(rows, [F.asc("id")], 15, -3).collect()] == list(range(15))
