@@ -12,9 +12,12 @@ A document is found if a passage is UTF-8 shown otherwise, if its words become
 Arabic by the learnt letters, or if it holds replacement characters (there the
 original is lost: ``restored`` keeps them, and ``whole`` is false).
 
+Text in Latin letters keeps most of its letters in any swap, so its ciphers need
+no learning: each word with other letters is read under the pairs of pages and
+kept if bigrams of the whole corpus make it far more likely that way.
+
 Defined cases: null and '' are never found; a null source is a source of its own;
 a source without evidence has no cipher. Text outside the garbled words is kept.
-Single-byte swaps are treated for Arabic text; for Latin text only UTF-8 swaps.
 """
 
 from __future__ import annotations
@@ -41,12 +44,19 @@ LETTERS = " ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهو
 #: Marks that stand in Arabic words besides letters, and punctuation around them.
 MARKS = "ًٌٍَُِّْـ"
 ARABIC_PUNCTUATION = "،؛؟«»"
+#: Pages in which text in Latin letters is written, and its letters and signs behind the word boundary.
+LATIN_WRITTEN = ("cp1252", "mac_roman", "cp850", "cp437")
+LATIN = " abcdefghijklmnopqrstuvwxyz" + "àâäçèéêëîïñóôöùúûüßáíãõåøæœğışÀÂÄÇÈÉÊËÎÏÑÓÔÖÙÚÛÜÁÍÃÕÅØÆŒĞİŞ’“”„—"
 #: What UTF-8 passages may turn out to be besides Arabic.
 SOUND = "àâäçèéêëîïñóôöùúûüßáíìòãõåøæœğİıŞşĞÀÂÇÈÉÊÎÖÜÑÁÍÓÚÄÔŒ¿¡«»“”„‘’‚–—…•·°²³½§±×÷ﷺ€£¥©®™ ‌‍‎‏­"
 # -------------------------------------------------------------------------
 
 LOST = "�"
 N = len(LETTERS)
+#: The number behind the last Latin letter stands for all other characters that aren't ASCII or Arabic.
+M = len(LATIN) + 1
+#: How much likelier (natural logarithm) a Latin word and all such words of a text must be under another page.
+WORD_GAIN, TEXT_GAIN = 3.0, 6.0
 #: A learnt cipher must make this share of a passage Arabic letters, over so many letters and words.
 LEAST_SHARE, LEAST_LETTERS, LEAST_WORDS = 0.9, 5, 2
 #: Mean log probability of a letter pair, relative to sound text, below which a passage isn't Arabic.
@@ -122,15 +132,15 @@ PROVEN = 3
 
 def from_utf8(text: str, depth: int = 3) -> tuple[str, int]:
     """The text with UTF-8 passages decoded, and the number of sound characters that came out of them."""
-    best, most = text, 0
+    best, most, widest = text, 0, 0
     there = set(text)
     for page, pattern in utf8_patterns().items():
         if any(there.isdisjoint(x) for x in utf8_ends()[page]):
             continue
-        table, got, fine = byte_tables()[page], 0, _is_sound
+        table, got, used, fine = byte_tables()[page], 0, 0, _is_sound
 
         def put(m: re.Match, table=table, page=page) -> str:
-            nonlocal got
+            nonlocal got, used
             raw = m.group()
             try:
                 made = bytes(table[c] for c in raw).decode("utf-8")
@@ -142,14 +152,15 @@ def from_utf8(text: str, depth: int = 3) -> tuple[str, int]:
             if not all(map(fine, again)) or (not more and any(c in "ÃÂ" for c in made)):
                 return raw
             got += sum(map(_is_sound, again))
+            used += len(raw)
             return again
 
         made = pattern.sub(put, text)
         if got >= PROVEN:
-            got, fine = 0, _is_likely
+            got, used, fine = 0, 0, _is_likely
             made = pattern.sub(put, text)
-        if got > most:
-            best, most = made, got
+        if used > widest:
+            best, most, widest = made, got, used
     return best, most
 
 
@@ -220,29 +231,93 @@ def score(raw: bytes, cipher: str, model: np.ndarray) -> tuple[float, float, int
     return float(pair.mean()), letters / max(high, 1), letters
 
 
-def bigram_model(df: DataFrame, text: str) -> np.ndarray:
-    """Joint probabilities of neighbouring letters (with word boundaries) over all texts; an N x N matrix."""
+def _numbers() -> tuple[np.ndarray, np.ndarray]:
+    """Letter numbers by code point for the Arabic and for the Latin model; -1 is passed over."""
+    arabic = np.zeros(0x110000, np.int16)
+    for k, c in enumerate(LETTERS):
+        arabic[ord(c)] = k
+    arabic[[ord(c) for c in MARKS]] = -1
+    latin = np.full(0x110000, M - 1, np.int16)
+    latin[:128] = latin[0x0600:0x0700] = 0
+    for k, c in enumerate(LATIN):
+        latin[ord(c)] = k
+        if "a" <= c <= "z":
+            latin[ord(c.upper())] = k
+    return arabic, latin
+
+
+def bigram_models(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Joint probabilities of neighbouring letters (with word boundaries) over all texts: N x N for Arabic, M x M for Latin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = np.full(0x110000, 0, np.int16)
-        for k, c in enumerate(LETTERS):
-            number[ord(c)] = k
-        number[[ord(c) for c in MARKS]] = -1
-        total = np.zeros(N * N, np.int64)
+        arabic, latin = _numbers()
+        total = np.zeros(N * N + M * M, np.int64)
         for batch in batches:
-            codes, at = C.to_codes(batch.column(0))
-            num = number[codes]
-            num = num[num >= 0].astype(np.int64)
+            codes, _ = C.to_codes(batch.column(0))
+            num = arabic[codes]
+            num = num[num >= 0].astype(np.int32)
+            if len(num) > 1:
+                total[: N * N] += np.bincount(num[:-1] * N + num[1:], minlength=N * N)
+            num = latin[codes].astype(np.int32)
             if len(num) > 1:
-                total += np.bincount(num[:-1] * N + num[1:], minlength=N * N)
-        total[0] = 0
+                total[N * N :] += np.bincount(num[:-1] * M + num[1:], minlength=M * M)
+        total[0] = total[N * N] = 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
-    counts = np.full(N * N, 0.5)
-    for row in df.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # N * N rows at most
+    counts = np.full(N * N + M * M, 0.5)
+    for row in df.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # N * N + M * M rows at most
         counts[row.pair] += row.n
-    return (counts / counts.sum()).reshape(N, N)
+    one, two = counts[: N * N], counts[N * N :]
+    two[-1] = 0.5  # other characters in a row are mostly garbled text of another script
+    return (one / one.sum()).reshape(N, N), (two / two.sum()).reshape(M, M)
+
+
+LATIN_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
+
+
+class LatinWords:
+    """Readings of single words under other pages; words come again, so they are remembered."""
+
+    def __init__(self, model: np.ndarray):
+        self.logs = np.log(model)
+        self.known: dict[str, dict[tuple[str, str], tuple[float, str]]] = {}
+
+    def _score(self, word: str) -> float:
+        num = [0, *(LATIN.find(c.lower() if c < "\x80" else c) for c in word), 0]
+        num = [n if n >= 0 else M - 1 if ord(c) > 127 else 0 for n, c in zip(num, " " + word + " ", strict=True)]
+        return float(sum(self.logs[a, b] for a, b in zip(num[:-1], num[1:], strict=True)))
+
+    def readings(self, word: str) -> dict[tuple[str, str], tuple[float, str]]:
+        """By (shown, written): how much likelier the word is that way, and how it reads."""
+        found = self.known.get(word)
+        if found is None:
+            found = {}
+            if len(word) > 2 and ASCII_LETTER.search(word) and not ARABIC.search(word):
+                own = self._score(word)
+                for shown in SHOWN:
+                    table = byte_tables()[shown]
+                    if any(ord(c) > 127 and c not in table for c in word):
+                        continue
+                    for written in LATIN_WRITTEN:
+                        made = "".join(c if c < "\x80" else bytes([table[c]]).decode(written, "replace") for c in word)
+                        if made != word and all(c < "\x80" or c in LATIN for c in made) and (gain := self._score(made) - own) >= WORD_GAIN:
+                            found[shown, written] = gain, made
+            if len(self.known) > 500_000:
+                self.known.clear()
+            self.known[word] = found
+        return found
+
+    def restore(self, text: str) -> str | None:
+        """The text with its words read under the best pair of pages; None if that isn't likelier by TEXT_GAIN."""
+        total: dict[tuple[str, str], float] = {}
+        for m in LATIN_WORD.finditer(text):
+            for pages, (gain, _) in self.readings(m.group()).items():
+                total[pages] = total.get(pages, 0.0) + gain
+        if not total or max(total.values()) < TEXT_GAIN:
+            return None
+        best = max(total, key=lambda k: (total[k], k))
+        return LATIN_WORD.sub(lambda m: self.readings(m.group()).get(best, (0.0, m.group()))[1], text)
 
 
 def learn(pairs: np.ndarray, start: str, model: np.ndarray, rounds: int = 15) -> tuple[str, float]:
@@ -332,12 +407,13 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     ``found``: it holds a passage decoded wrongly; ``whole``: nothing of it is
     lost; ``restored``: the text with the passages restored.
     """
-    model = bigram_model(df, text)
+    model, latin_model = bigram_models(df, text)
     known = model.sum(1)
     base = float((model * np.log(model))[1:, 1:].sum() / model[1:, 1:].sum()) if known.sum() else -9.0
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(source), F.lit("\0")).alias("source"), F.col(text).alias("text")).filter("text is not null")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latin = LatinWords(latin_model)
         for batch in batches:
             out: list[tuple] = []
             for i, s, t in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -350,6 +426,8 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                 elif got:
                     best = _best(plain, model, base, {})
                 lost = LOST in t
+                if not best and (read := latin.restore(plain)):
+                    plain, got = read, got + 1
                 if got or best or lost:
                     page, start = best[:2] if best else (None, None)
                     raw = b"\0".join(shown_bytes(plain[a:b], page) for a, b in passages(plain, page)) if page else None

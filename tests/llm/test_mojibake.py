@@ -20,6 +20,7 @@ def test_utf8_is_restored(shown):
 def test_utf8_twice():
     once = garble("déjà vu", "utf-8", "cp1252")
     assert m.from_utf8(garble(once, "utf-8", "cp1252"))[0] == "déjà vu"
+    assert m.from_utf8(garble(garble("we’ll", "utf-8", "cp1252"), "utf-8", "cp1252"))[0] == "we’ll"
 
 
 @pytest.mark.parametrize("text", ["SÃO e MANHÃ", "CAFÉ»", "Ù Ú Ã © £ ¥ €", "حفظ، خط» كلاظ؛", "Ørsund på Ålø", "¿Quién? ¡oh!", "x² y³ z½ §12 ±3", *CLEAN, "Старая копия", "全角 文字 🙂", "Äußerung: Übung"])
@@ -58,6 +59,16 @@ def test_what_is_sound_is_not_found(repaired):
         assert k not in repaired or not repaired[k].found
 
 
+def test_latin_letters_in_a_single_byte_swap(spark):
+    words = "récit français été rivière d’après père mère garçon naïve café kâtip ölçü için".split()
+    clean = [(k, " ".join(words[(k + i * 3) % len(words)] for i in range(12)), "s") for k in range(150)]
+    decoys = [(500, "Ørsund på Ålø, SÃO e MANHÃ " + clean[0][1], "s"), (501, "x² y³ z½ café", "s"), (502, "žlutá Šárka ñandú ÑU Þing Ðalur", "s")]
+    bad = [(600, garble(clean[3][1], "cp1252", "cp850"), "s"), (601, clean[4][1] + " " + garble("récit d’après", "cp1252", "cp850"), "s"), (602, garble(clean[5][1], "cp1252", "mac_roman"), None)]
+    got = {r.id: r for r in m.repair(spark.createDataFrame(clean + decoys + bad, "doc_id long, text string, source string")).collect() if r.found}
+    assert set(got) == {600, 601, 602}
+    assert got[600].restored == clean[3][1] and got[601].restored == clean[4][1] + " récit d’après" and got[602].restored == clean[5][1]
+
+
 def test_lost_and_long(repaired):
     assert repaired[2002].found and not repaired[2002].whole
     assert repaired[2005].restored == "été" * 30_000
