@@ -19,8 +19,8 @@ beyond ``HOT`` occurrences aren't brought into one block; their windows are
 counted by a distributed aggregate of window hashes instead.
 
 Defined cases: null and texts below ``LEAST`` characters share nothing; a span
-that a record only repeats within itself doesn't count; rows that repeat an id
-with the same text are one record.
+that a record only repeats within itself doesn't count; rows of one id are one
+record, also where an id stands over several texts.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ LEAST, GRAM = 60, 30
 SIDE = LEAST - GRAM
 WIDTH = LEAST + SIDE
 #: Occurrences of an anchor that a block takes.
-HOT = 100_000
+HOT = 20_000
 BASE = 0x2545F4914F6CDD1D
 SLICE_CHARS = 1_000_000
 PAD = np.uint32(0x110000)
@@ -100,8 +100,8 @@ def _surroundings(spots: DataFrame) -> DataFrame:
                 flat = spot.flatten()
                 row = np.repeat(np.arange(part.num_rows), many)
                 pos = flat.field("pos").to_numpy()
-                lo = np.maximum(at[row] + pos - SIDE, at[row])
-                hi = np.minimum(at[row] + pos + GRAM + SIDE, at[row + 1])
+                lo = np.minimum(np.maximum(at[row] + pos - SIDE, at[row]), at[row + 1])
+                hi = np.maximum(np.minimum(at[row] + pos + GRAM + SIDE, at[row + 1]), lo)
                 ends = np.concatenate([[0], np.cumsum(hi - lo)])
                 take = np.repeat(lo - ends[:-1], hi - lo) + np.arange(ends[-1])
                 rec = part.column(0).to_numpy()[row]
@@ -207,10 +207,10 @@ def _hot_factors(around: DataFrame) -> DataFrame:
 
 def factors(records: DataFrame, hot: int = HOT) -> DataFrame:
     """All factors (rec, start, end, source, source_start) of records (rec long, text string); factors of one record may overlap."""
-    long = records.filter((F.length("text") >= LEAST) & F.col("rec").isNotNull()).select("rec", "text").distinct()
+    long = records.filter((F.length("text") >= LEAST) & F.col("rec").isNotNull()).select("rec", "text")
     seen = _anchor_rows(long).checkpoint()
     shared = seen.groupBy("anchor").agg(F.min("rec").alias("lo"), F.max("rec").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("anchor", (F.col("n") > hot).alias("hot"))
-    spots = seen.join(shared, "anchor").groupBy("rec").agg(F.collect_list(F.struct("anchor", "pos", "hot")).alias("spots"))
+    spots = seen.join(shared, "anchor").groupBy("rec").agg(F.collect_set(F.struct("anchor", "pos", "hot")).alias("spots"))
     spots = long.join(spots, "rec").checkpoint()
     of = lambda flag: _surroundings(spots.select("rec", "text", F.transform(F.filter("spots", lambda x: x.hot == F.lit(flag)), lambda x: F.struct(x.anchor.alias("anchor"), x.pos.alias("pos"))).alias("spots")).filter(F.size("spots") > 0))
     cold = _factor_rows(of(False).repartition("anchor"))

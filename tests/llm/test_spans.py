@@ -51,3 +51,5 @@ def test_edges(spark):
     got = {r.rec: (r.shared_chars, r.n_chars) for r in spans.shared_text(df.withColumn("start", df.rec)).collect()}
     assert got == {6: (60, 30_000), 7: (60, 60), 10: (60, 60), 11: (60, 61)}
     assert spans.factors(df.filter("rec < 0")).count() == 0
+    two = spark.createDataFrame([(1, long[:500]), (1, long[300:330]), (1, "y" * 70), (2, long[100:200])], "rec long, text string")
+    assert {r.rec for r in spans.factors(two).collect()} == {1, 2}
