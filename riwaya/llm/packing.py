@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 #: Tokens of a part, about, and containers of a window.
 PART_TOKENS = 8_000_000
+#: Items of a part at most, about; bounds its memory where items are tiny.
+PART_ITEMS = 250_000
 WINDOW = 256
 HOLD = 8
 #: Containers of a part have ids below this; a part has about PART_TOKENS / CAPACITY of them.
@@ -105,8 +107,8 @@ def pack(items: DataFrame, mixture: dict[str, float] | None = None, capacity: in
     doesn't name have the weight 0: they are taken when the named ones are used up.
     """
     items = items.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).checkpoint()
-    total = items.agg(F.sum("n_tokens")).first()[0] or 0
-    parts = max(1, -(-total // part_tokens))
+    total, number = items.agg(F.sum("n_tokens"), F.count("*")).first()
+    parts = max(1, -(-(total or 0) // part_tokens), -(-number // PART_ITEMS))
     placed = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
     supply = placed.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens"))
     weight = F.col("own") / F.greatest(F.sum("own").over(Window.partitionBy("one")), F.lit(1))
