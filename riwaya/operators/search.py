@@ -46,12 +46,12 @@ def hit_statistics(hits: DataFrame) -> DataFrame:
     return hits.agg(F.count_distinct(_group_key()).alias("groups"), F.count("*").alias("hits"))
 
 
-def quick_hits(branches: list[tuple[str, DataFrame]], needle: str, limit: int = 40) -> DataFrame:
-    """Titles that hold the needle: branch after branch, each in its order. A branch has (pos, title, sub, href, haystack array)."""
+def quick_hits(branches: list[DataFrame], needle: str, limit: int = 40) -> DataFrame:
+    """Titles that hold the needle: branch after branch, each in its order. A branch has (pos, kind, title, sub, href, haystack array)."""
     parts = []
-    for k, (kind, df) in enumerate(branches):
+    for k, df in enumerate(branches):
         hit = F.exists("haystack", lambda x: F.contains(normalize(x, "search"), F.lit(needle)))
-        parts.append(df.filter(F.lit(needle != "") & hit).select(F.lit(k).alias("branch"), F.col("pos").cast("long").alias("pos"), F.lit(kind).alias("kind"), "title", "sub", "href"))
+        parts.append(df.filter(F.lit(needle != "") & hit).select(F.lit(k).alias("branch"), F.col("pos").cast("long").alias("pos"), "kind", "title", "sub", "href"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

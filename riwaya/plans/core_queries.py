@@ -314,10 +314,48 @@ def search_statistics(spark: SparkSession, at: str) -> DataFrame:
 
 @query
 def quick_hits(spark: SparkSession, at: str) -> DataFrame:
+    """Surahs, then commentaries, then each book followed by its sections."""
     t = Tables(spark, at)
-    surahs = t.surahs.select(F.col("n").alias("pos"), F.concat(F.lit("سورة "), "ar").alias("title"), F.concat("rev", F.lit(" · "), X.arabic_digits(F.col("verse_count")), F.lit(" آية")).alias("sub"), F.concat(F.lit("tafsir.html#/"), "n").alias("href"), F.array("ar").alias("haystack"))
-    books = t.books.select(F.row_number().over(Window.orderBy("slug")).alias("pos"), F.col("ar").alias("title"), F.coalesce("author", F.lit("")).alias("sub"), F.concat(F.lit("hadith.html#/"), "slug").alias("href"), F.array("ar", F.coalesce("author", F.lit(""))).alias("haystack"))
-    return search.quick_hits([("سورة", surahs), ("كتاب", books)], core_sql.QUICK).select("kind", "title", "sub", "href")
+    surahs = t.surahs.select(F.col("n").alias("pos"), F.lit("سورة").alias("kind"), F.concat(F.lit("سورة "), "ar").alias("title"), F.concat("rev", F.lit(" · "), X.arabic_digits(F.col("verse_count")), F.lit(" آية")).alias("sub"), F.concat(F.lit("tafsir.html#/"), "n").alias("href"), F.array("ar").alias("haystack"))
+    editions = t.kind("tafsir").select("edition").distinct()
+    editions = editions.select(F.row_number().over(Window.orderBy("edition")).alias("pos"), F.lit("تفسير").alias("kind"), F.concat(F.lit("تفسير في "), "edition").alias("title"), F.lit("").alias("sub"), F.concat(F.lit("tafsir.html#/1/"), "edition", F.lit("/1")).alias("href"), F.array(F.concat(F.lit("تفسير في "), "edition")).alias("haystack"))
+    books = t.books.withColumn("nth", F.row_number().over(Window.orderBy("slug")))
+    own = books.select((F.col("nth") * 1_000_000).alias("pos"), F.lit("كتاب").alias("kind"), F.col("ar").alias("title"), F.coalesce("author", F.lit("")).alias("sub"), F.concat(F.lit("hadith.html#/"), "slug").alias("href"), F.array("ar", F.coalesce("author", F.lit(""))).alias("haystack"))
+    title = F.concat(F.lit("باب في "), X.arabic_digits(F.col("section")))
+    parts = _sections(t).join(books, F.col("book") == F.col("slug")).select((F.col("nth") * 1_000_000 + F.col("section") + 1).alias("pos"), F.lit("باب").alias("kind"), title.alias("title"), F.col("ar").alias("sub"), F.concat(F.lit("hadith.html#/"), "slug", F.lit("/"), "section", F.lit("/1")).alias("href"), F.array(title).alias("haystack"))
+    return search.quick_hits([surahs, editions, own.unionByName(parts)], core_sql.QUICK).select("kind", "title", "sub", "href")
+
+
+@query
+def section_page(spark: SparkSession, at: str) -> DataFrame:
+    """The pages of one section of a book, with previews."""
+    t = Tables(spark, at)
+    rows = t.kind("hadith").filter((F.col("book_slug") == core_sql.SCOPE) & (F.floor(F.col("hadith_no") / 1000) == 1))
+    return search.paged(rows.select("id", X.preview(F.col("text_ar")).alias("preview")), [F.col("id")], 15)
+
+
+@query
+def other_commentaries(spark: SparkSession, at: str) -> DataFrame:
+    """For each commentary the others on its verse."""
+    c = Tables(spark, at).kind("tafsir").select("id", "surah", "ayah", "edition")
+    o = c.select(F.col("id").alias("other"), "surah", "ayah", F.col("edition").alias("other_edition"))
+    return c.join(o, ["surah", "ayah"]).filter("edition <> other_edition").select("id", "other")
+
+
+@query
+def verses_with_commentary(spark: SparkSession, at: str) -> DataFrame:
+    """Each verse beside its commentary in one edition."""
+    t = Tables(spark, at)
+    edition = t.kind("tafsir").filter(F.col("edition") == core_sql.EDITION).select("surah", "ayah", F.col("text_ar").alias("commentary"))
+    return t.kind("ayah").select("id", "surah", "ayah", "text_ar").join(edition, ["surah", "ayah"])
+
+
+@query
+def routes(spark: SparkSession, at: str) -> DataFrame:
+    """Paths of verses and surahs read back."""
+    path = F.concat(F.lit("/ayah/"), F.replace("ref_key", F.lit(":"), F.lit("/")))
+    rows = Tables(spark, at).documents.filter("ref_key is not null").select("doc_id", X.parse_route(path).alias("r"))
+    return rows.select("doc_id", "r.kind", "r.surah", "r.ayah")
 
 
 @query

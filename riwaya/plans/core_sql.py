@@ -7,7 +7,7 @@ from riwaya.functions import text as X
 from riwaya.functions.normalize import sql_normalize
 from riwaya.sources import readers
 
-NEEDLE, QUICK, SCOPE = "الناس", "في", "qafila"
+NEEDLE, QUICK, SCOPE, EDITION = "الناس", "في", "qafila", "sharh-wadi-01"
 VERSES = [(59, 6), (7, 29), (84, 12), (1, 1), (2, 3), (102, 16), (98, 32)]
 PICKS = [(1, "qafila", 1), (2, "nahr", 0), (3, "none", 1), (4, "wadi", 12), (5, "tall", 99)]
 GENERATIONS = ["Companion", "Follower (Tabi') [2nd Generation]", "Follower", "Succ. (Taba' Tabi') [3rd generation]", "3rd Century AH", "12th generation", "the Prophet", "تابعي", "unknown", "", None]
@@ -144,9 +144,16 @@ UNION ALL SELECT id, unit_id, muhaddith, book, page, grade FROM (SELECT * FROM g
     "search_groups": f"WITH {hits(NEEDLE)} SELECT substr(coalesce(nullif(sig, ''), snippet), 1, 60) AS key, arg_min(snippet, (book, doc)) AS snippet, arg_min(doc, (book, doc)) AS first_doc, count(*) AS n FROM hits GROUP BY 1",
     "search_members": f"WITH {hits(NEEDLE)} SELECT doc, substr(coalesce(nullif(sig, ''), snippet), 1, 60) AS key FROM hits",
     "search_statistics": f"WITH {hits(NEEDLE)} SELECT count(DISTINCT substr(coalesce(nullif(sig, ''), snippet), 1, 60)) AS groups, count(*) AS hits FROM hits",
-    "quick_hits": f"""WITH b AS (SELECT 0 AS branch, n AS pos, 'سورة' AS kind, 'سورة ' || ar AS title, rev || ' · ' || {digits('verse_count')} || ' آية' AS sub, 'tafsir.html#/' || n AS href, [ar] AS hay FROM surahs
-UNION ALL SELECT 1, row_number() OVER (ORDER BY slug), 'كتاب', ar, coalesce(author, ''), 'hadith.html#/' || slug, [ar, coalesce(author, '')] FROM books)
+    "quick_hits": f"""WITH {SECTIONS}, k AS (SELECT *, row_number() OVER (ORDER BY slug) AS nth FROM books), b AS (SELECT 0 AS branch, n AS pos, 'سورة' AS kind, 'سورة ' || ar AS title, rev || ' · ' || {digits('verse_count')} || ' آية' AS sub, 'tafsir.html#/' || n AS href, [ar] AS hay FROM surahs
+UNION ALL SELECT 1, row_number() OVER (ORDER BY edition), 'تفسير', 'تفسير في ' || edition, '', 'tafsir.html#/1/' || edition || '/1', ['تفسير في ' || edition] FROM (SELECT DISTINCT edition FROM unit WHERE kind = 'tafsir')
+UNION ALL SELECT 2, nth * 1000000, 'كتاب', ar, coalesce(author, ''), 'hadith.html#/' || slug, [ar, coalesce(author, '')] FROM k
+UNION ALL SELECT 2, nth * 1000000 + section + 1, 'باب', 'باب في ' || {digits('section')}, ar, 'hadith.html#/' || slug || '/' || section || '/1', ['باب في ' || {digits('section')}] FROM sections JOIN k ON slug = book)
 SELECT kind, title, sub, href FROM (SELECT DISTINCT branch, pos, kind, title, sub, href FROM (SELECT *, unnest(hay) AS h FROM b) WHERE contains({norm('h', 'search')}, '{QUICK}')) ORDER BY branch, pos LIMIT 40""",
+    "section_page": f"""WITH r AS (SELECT id, substr(text_ar, 1, 220) || '…' AS preview, row_number() OVER (ORDER BY id) AS n, count(*) OVER () AS c FROM unit WHERE kind = 'hadith' AND book_slug = '{SCOPE}' AND floor(hadith_no / 1000) = 1)
+SELECT id, preview, greatest(1, ceil(c / 15))::INT AS pages, ceil(n / 15)::INT AS page, ((n - 1) % 15 + 1)::INT AS place FROM r""",
+    "other_commentaries": "SELECT a.id, b.id AS other FROM unit a JOIN unit b ON a.kind = 'tafsir' AND b.kind = 'tafsir' AND a.surah = b.surah AND a.ayah = b.ayah AND a.edition <> b.edition",
+    "verses_with_commentary": f"SELECT a.id, a.surah, a.ayah, a.text_ar, t.text_ar AS commentary FROM unit a JOIN unit t ON a.kind = 'ayah' AND t.kind = 'tafsir' AND t.edition = '{EDITION}' AND a.surah = t.surah AND a.ayah = t.ayah",
+    "routes": "SELECT doc_id, 'ayah' AS kind, split_part(ref_key, ':', 1)::INT AS surah, split_part(ref_key, ':', 2)::INT AS ayah FROM documents WHERE ref_key IS NOT NULL",
     "highlighted": f"WITH {hits(NEEDLE)} SELECT doc, {escape(f'''substr(snippet, 1, strpos(snippet, '{NEEDLE}') - 1)''')} || '<mark>{NEEDLE}</mark>' || {escape(f'''substr(snippet, strpos(snippet, '{NEEDLE}') + {len(NEEDLE)})''')} AS html FROM hits",
     "escaped_docs": f"SELECT doc_id, {escape('text')} AS js, {escape('text', True)} AS py FROM documents",
     "previews": "SELECT id, substr(text_ar, 1, 220) || '…' AS preview FROM unit WHERE kind = 'hadith'",

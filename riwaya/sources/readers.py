@@ -69,6 +69,18 @@ def read_titles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ref_key", "place", F.col("t.name").alias("name"), normalize(F.col("t.name")).alias("needle"), F.col("t.attested_ar").alias("attested"), F.col("t.source_ar").alias("title_source"))
 
 
+def read_manual_links(spark: SparkSession, path: str) -> DataFrame:
+    """(ref_key, place, entry) of links set by hand, each entry as JSON; a missing file gives no rows."""
+    try:
+        raw = spark.read.text(path, wholetext=True)
+    except Exception as e:  # the file is optional
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "ref_key string, place int, entry string")
+    rows = raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("ref_key", "e"))
+    return rows.select("ref_key", F.posexplode("e").alias("place", "entry"))
+
+
 def _filled(c: Column) -> Column:
     return F.when(trim_white(c) != "", trim_white(c))
 

@@ -1,6 +1,8 @@
 import json
 
-from riwaya.sources import readers
+import pytest
+
+from riwaya.sources import landing, readers
 
 
 def write(path, data):
@@ -45,3 +47,31 @@ def test_search_index(spark, tmp_path):
     at = write(tmp_path / "i.json", [[1, 2, "نص", [["من", "صحيح"]], [["t", "زيد"], ["i", "k"]]], [2, 2, "x", [], []]])
     got = readers.read_search_index(spark, at).orderBy("pos").collect()
     assert (got[0].num, got[0].sec, got[0].txt, got[0].grades, got[0].chain) == (1, 2, "نص", [["من", "صحيح"]], [["t", "زيد"], ["i", "k"]]) and got[1].grades == []
+
+
+def test_manual_links(spark, tmp_path):
+    at = write(tmp_path / "m.json", {"2:255": [{"a": 1}, {"a": 2}]})
+    assert [(r.ref_key, r.place) for r in readers.read_manual_links(spark, at).orderBy("place").collect()] == [("2:255", 0), ("2:255", 1)]
+    assert readers.read_manual_links(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_landing(tmp_path):
+    calls = []
+
+    def get(url):
+        calls.append(url)
+        if "down" in url:
+            raise OSError("no route")
+        return url.encode()
+
+    at = landing.land("u1", tmp_path, get=get)
+    assert at.read_bytes() == b"u1" and landing.land("u1", tmp_path, get=get) == at and calls == ["u1"]
+    landing.land("u1", tmp_path, refresh=True, get=get)
+    assert calls == ["u1", "u1"]
+    with pytest.raises(landing.SourceUnavailable):
+        landing.land("down", tmp_path, get=get)
+    landing.cache_path("down2", tmp_path).write_bytes(b"old")
+    assert landing.land("down2", tmp_path, refresh=True, get=get).read_bytes() == b"old"
+    assert landing.land_first(["down3", "u2"], tmp_path, get=get).read_bytes() == b"u2"
+    with pytest.raises(landing.SourceUnavailable):
+        landing.land_first(["down4"], tmp_path, get=get)

@@ -67,6 +67,11 @@ def test_small_functions(spark):
     assert value(spark, X.escape_html(F.col("t"), apostrophe=True), t="'&<") == "&#x27;&amp;&lt;"
 
 
+@pytest.mark.parametrize(("path", "want"), [("/ayah/2/255", ("ayah", 2, 255)), ("/surah/7", ("surah", 7, None)), ("/ayah/2", None), ("/surah/2/3", None), ("/x", None), (None, None)])
+def test_routes(spark, path, want):
+    assert value(spark, X.parse_route(F.col("p")), p=path) == want
+
+
 @pytest.mark.parametrize("key", ["abc", "محمد بن عبد الله", "", "x" * 300])
 def test_shard_is_the_32_bit_hash(spark, key):
     h = 0
