@@ -22,12 +22,18 @@ def _names(spark: SparkSession, at: str) -> DataFrame:
     return rows.select(F.explode(listed).alias("x")).select("x.*")
 
 
+def _rulings(spark: SparkSession, at: str) -> DataFrame:
+    """Where scholars' names stand: rows with equal unit, book, page and grade state one ruling."""
+    g = _read(spark, at, "grading", "muhaddith", "unit_id", "book", "page", "grade")
+    return g.select(F.lit("muhaddith").alias("field"), F.col("muhaddith").alias("name"), F.xxhash64("unit_id", "book", F.coalesce("page", F.lit("")), "grade").alias("key"))
+
+
 def p1_found(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.llm.names import variant_pairs
     from riwaya.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return variant_pairs(_names(spark, at))
+    return variant_pairs(_names(spark, at), _rulings(spark, at))
 
 
 def p1_entities(spark: SparkSession, at: str) -> DataFrame:
@@ -35,7 +41,7 @@ def p1_entities(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return resolve(_names(spark, at))
+    return resolve(_names(spark, at), _rulings(spark, at))
 
 
 def p2_found(spark: SparkSession, at: str) -> DataFrame:
