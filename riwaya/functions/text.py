@@ -118,14 +118,15 @@ def shard(c: Column, shards: int = 24) -> Column:
 def parse_route(c: Column) -> Column:
     """(kind, surah, ayah) of a path like /ayah/2/255 or /surah/2; null parts where the path is another."""
     part = lambda k: F.regexp_extract(c, r"^/(ayah|surah)/(\d+)(?:/(\d+))?/?$", k)
-    number = lambda k: F.when(part(k) != "", part(k)).cast("int")
+    number = lambda k: part(k).try_cast("int")
     whole = ((part(1) == "ayah") & (part(3) != "")) | ((part(1) == "surah") & (part(3) == ""))
     return F.when(whole, F.struct(part(1).alias("kind"), number(2).alias("surah"), number(3).alias("ayah")))
 
 
 def parse_ref(c: Column) -> tuple[Column, Column]:
+    """Both numbers of "2:255"; null where there is none."""
     parts = F.split(c, ":")
-    return parts[0].cast("int"), parts[1].cast("int")
+    return F.get(parts, F.lit(0)).try_cast("int"), F.get(parts, F.lit(1)).try_cast("int")
 
 
 def first_filled(*columns: Column) -> Column:

@@ -117,7 +117,7 @@ def narrator_refs(refs: DataFrame, books: DataFrame, most: int = 90) -> DataFram
 
 def split_refs(narrators: DataFrame) -> DataFrame:
     """(key, book, number) of narrators (key, h array<"book:number">)."""
-    return narrators.select("key", F.explode("h").alias("ref")).select("key", F.split("ref", ":")[0].alias("book"), F.split("ref", ":")[1].cast("int").alias("number"))
+    return narrators.select("key", F.explode("h").alias("ref")).select("key", F.split("ref", ":")[0].alias("book"), F.get(F.split("ref", ":"), F.lit(1)).try_cast("int").alias("number"))
 
 
 def top(rows: DataFrame, order: list[Column], k: int = 60) -> DataFrame:

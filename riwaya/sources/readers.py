@@ -112,8 +112,9 @@ def parse_rulings(answers: DataFrame, column: str = "body") -> DataFrame:
 
 def read_search_index(spark: SparkSession, path: str) -> DataFrame:
     """(num, sec, txt, grades, chain) of a positional index file: an array of arrays."""
+    at = lambda k: F.get("r", F.lit(k))
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "r"))
-    return rows.select("pos", F.col("r")[0].cast("int").alias("num"), F.col("r")[1].cast("int").alias("sec"), F.col("r")[2].alias("txt"), F.from_json(F.col("r")[3], "array<array<string>>").alias("grades"), F.from_json(F.col("r")[4], "array<array<string>>").alias("chain"))
+    return rows.select("pos", at(0).try_cast("int").alias("num"), at(1).try_cast("int").alias("sec"), at(2).alias("txt"), F.from_json(at(3), "array<array<string>>").alias("grades"), F.from_json(at(4), "array<array<string>>").alias("chain"))
 
 
 def first_available(*candidates: Column) -> Column:

@@ -67,6 +67,12 @@ def test_small_functions(spark):
     assert value(spark, X.escape_html(F.col("t"), apostrophe=True), t="'&<") == "&#x27;&amp;&lt;"
 
 
+@pytest.mark.parametrize(("ref", "want"), [("2:255", (2, 255)), ("x", (None, None)), ("2", (2, None)), (None, (None, None)), ("2:99999999999", (2, None))])
+def test_refs(spark, ref, want):
+    a, b = X.parse_ref(F.col("r"))
+    assert value(spark, F.struct(a.alias("a"), b.alias("b")), r=ref) == want
+
+
 @pytest.mark.parametrize(("path", "want"), [("/ayah/2/255", ("ayah", 2, 255)), ("/surah/7", ("surah", 7, None)), ("/ayah/2", None), ("/surah/2/3", None), ("/x", None), (None, None)])
 def test_routes(spark, path, want):
     assert value(spark, X.parse_route(F.col("p")), p=path) == want
