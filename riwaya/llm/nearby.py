@@ -157,7 +157,7 @@ def block_keys(elements: np.ndarray, at: np.ndarray, heavy: np.ndarray, share: n
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(index)
 
 
-FAN = (64, 16, 4)
+FAN = (16, 2)
 
 
 def _most_different(total: np.ndarray) -> np.ndarray:
