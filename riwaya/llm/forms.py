@@ -257,9 +257,9 @@ def lookalike_pairs(df: DataFrame, id_column: str, columns: list[str]) -> DataFr
 
     Only groups that hold at least two different stored values are joined, which
     a pre-aggregated minimum and maximum decides; a group of mere copies, however
-    large, costs one row. Nulls are in no pair; '' pairs with texts that print nothing.
+    large, costs one row. Keys are made once and kept. Nulls are in no pair, rows without id neither; '' pairs with texts that print nothing.
     """
-    keys = form_keys(df, id_column, columns)
+    keys = form_keys(df.filter(F.col(id_column).isNotNull()), id_column, columns).checkpoint()
     mixed = (
         keys.groupBy("field", "form1", "form2")
         .agg(F.min(F.struct("raw1", "raw2")).alias("lo"), F.max(F.struct("raw1", "raw2")).alias("hi"))
