@@ -4,9 +4,12 @@ Method: a symmetric-delete dictionary of the reference phrases is broadcast (its
 size follows from the reference list alone). Every run of words of a value is
 looked up within a bounded edit distance; candidates are ranked by the number of
 words explained, by weighted Damerau-Levenshtein distance and by the frequency
-of the entry in the data. A phrase counts only if the words around it are a
-known frame: words before or after that stand around exact phrases of several
-different entries somewhere in the data. Values without a candidate are
+of the entry in the data. The words around a phrase are judged one by one, with
+no least number of entries or values: an exact phrase counts unless a word beside
+it stands in more rows without any phrase than around exact phrases; an edited
+one (or an abbreviation) counts if each word beside it is of ``FRAME_WORDS`` or
+stands around exact phrases at least as often as elsewhere. A phrase right behind
+a negation that isn't part of it doesn't count. Values without a candidate are
 reported with the entry 0.
 
 Defined cases: null values are left out; '' and values without letters give 0;
@@ -54,6 +57,11 @@ OTHER_WORDS = {
     "لا أصل له": ["بلا أصل", "ليس له أصل"],
     "لا يصح": ["غير صحيح", "ليس بصحيح", "لم يصح", "ما صح", "لا يثبت", "لم يثبت", "ليس صحيحا"],
 }
+#: Words that say nothing against a phrase beside them, in any table.
+FRAME_WORDS = """هو وهو هي وهي هذا هذه وهذا بهذا إنه وإنه قلت قال وقال قالوا حديث الحديث حديثه خبر الخبر أثر رواية إسناد الإسناد إسناده وإسناده سند السند سنده
+وسنده متن المتن متنه طريق الطريق السياق اللفظ الوجه فيه وفيه في من على عن عند عندي إن شاء الله فيما يظهر الأرجح الظاهر الصواب والله أعلم كله جدا""".split()
+#: Words that turn the phrase behind them into its contrary.
+NEGATIONS = "لا ولا غير وغير ليس وليس ليست لم ولم ما وما بلا".split()
 #: Letters that are taken for one another: a substitution costs half.
 CLOSE = ("صس", "ضظ", "تط", "ثس", "ذد", "ذز", "زر", "حخ", "جح", "جخ", "عغ", "قف", "بتثني", "كل", "sz", "gj", "qk", "dt", "iy", "uw")
 FOLD = str.maketrans("أإآٱىةؤئ", "ااااي" + "هوي")
@@ -61,8 +69,8 @@ FOLD = str.maketrans("أإآٱىةؤئ", "ااااي" + "هوي")
 
 MARKS = re.compile("[\u0610-\u061A\u064B-\u065F\u0670\u06D6-\u06ED\u0640]")
 WORD = re.compile(r"[^\W_]+")
-#: A phrase has at most this many words, and so many different entries make words around it a frame.
-MOST_WORDS, FRAME_ENTRIES = 4, 3
+#: A phrase has at most this many words.
+MOST_WORDS = 4
 
 
 def words(text: str) -> list[str]:
@@ -125,7 +133,7 @@ def dictionary(reference: list[Row]) -> dict[str, list[tuple[str, int]]]:
 
 
 def candidates(value: str, entries: dict[str, list[tuple[str, int]]]) -> list[tuple]:
-    """(before, after, ref_id, words, distance, exact) for each run of words within the allowed distance of a phrase."""
+    """(before, after, ref_id, words, distance, exact, phrase) for each run of words within the allowed distance of a phrase."""
     w, out = words(value), []
     for n in range(1, min(MOST_WORDS, len(w)) + 1):
         for k in range(len(w) - n + 1):
@@ -134,7 +142,7 @@ def candidates(value: str, entries: dict[str, list[tuple[str, int]]]) -> list[tu
             for phrase, ref in hits:
                 most = allowed(phrase)
                 if run == phrase or (most and edits(run, phrase) <= most):
-                    out.append((" ".join(w[:k]), " ".join(w[k + n :]), ref, n, distance(run, phrase), run == phrase))
+                    out.append((" ".join(w[:k]), " ".join(w[k + n :]), ref, n, distance(run, phrase), run == phrase, phrase))
     return out
 
 
@@ -154,17 +162,28 @@ def map_values(values: DataFrame, reference: DataFrame, column: str = "grade") -
             form = C.to_arrow(*consistent(*C.to_codes(batch.column(0)))).to_pylist()
             for value, plain, n in zip(batch.column(0).to_pylist(), form, batch.column(1).to_pylist(), strict=True):
                 found = candidates(plain, entries.value)
-                made += [(value, n, *x) for x in found] or [(value, n, None, None, None, None, None, None)]
-            names = ["value", "n", "before", "after", "ref_id", "words", "distance", "exact"]
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_()]
-            columns = zip(*made, strict=True) if made else [[]] * 8
+                made += [(value, n, *x) for x in found] or [(value, n, " ".join(words(plain)), "", None, None, None, None, None)]
+            names = ["value", "n", "before", "after", "ref_id", "words", "distance", "exact", "phrase"]
+            kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
+            columns = zip(*made, strict=True) if made else [[]] * 9
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    found = distinct.mapInArrow(run, "value string, n long, before string, after string, ref_id int, words int, distance double, exact boolean").checkpoint()
+    found = distinct.mapInArrow(run, "value string, n long, before string, after string, ref_id int, words int, distance double, exact boolean, phrase string").checkpoint()
+    frame, beside = F.concat_ws(" ", "before", "after"), F.explode(F.array_distinct(F.split(F.concat_ws(" ", "before", "after"), " "))).alias("word")
     exact = found.filter("exact")
-    frame = lambda side: exact.filter(F.col(side) != "").groupBy(side).agg(F.count_distinct("ref_id").alias("k")).filter(F.col("k") >= FRAME_ENTRIES).select(side)
-    before, after = frame("before").withColumn("b_ok", F.lit(True)), frame("after").withColumn("a_ok", F.lit(True))
-    known = found.join(before, "before", "left").join(after, "after", "left").filter("(before = '' or b_ok) and (after = '' or a_ok)")
+    # by word: rows where it stands around an exact phrase, in a value without one, and in a value without any phrase
+    full = F.coalesce(F.col("exact") & (F.length(F.translate(F.col("phrase"), " ", "")) > 2), F.lit(False))
+    kind = found.withColumn("full", full).withColumn("has", F.max("full").over(Window.partitionBy("value")))
+    seen = kind.filter("full or not has").select("value", "n", "has", F.col("ref_id").isNull().alias("none"), beside).filter("word != ''").distinct()
+    rows = lambda which: F.sum(F.when(which, F.col("n")).otherwise(0))
+    words_seen = seen.groupBy("word").agg(rows(F.col("has")).alias("pro"), rows(~F.col("has")).alias("con"), rows(F.col("none")).alias("con_none"))
+    fixed = F.col("word").isin(sorted({w for x in FRAME_WORDS for w in words(x)})) | (F.col("word") == "")
+    frames = found.select(frame.alias("frame"), beside).distinct().join(words_seen, "word", "left").groupBy("frame").agg(
+        F.bool_and(fixed | F.coalesce((F.col("pro") > 0) & (F.col("pro") >= F.col("con")), F.lit(False))).alias("usual"),
+        F.bool_or(~fixed & F.coalesce(F.col("con_none") > F.col("pro"), F.lit(False))).alias("against"),
+    )
+    denied = F.element_at(F.split("before", " "), -1).isin(sorted({w for x in NEGATIONS for w in words(x)}))
+    known = kind.filter("ref_id is not null").withColumn("frame", frame).join(frames, "frame").filter(~denied & F.expr("usual or (full and not against)"))
     often = exact.groupBy("ref_id").agg(F.sum("n").alias("often"))
     rank = Window.partitionBy("value").orderBy(F.desc("words"), "distance", F.desc("often"), "ref_id")
     best = known.join(often, "ref_id", "left").withColumn("often", F.coalesce("often", F.lit(0))).withColumn("r", F.row_number().over(rank)).filter("r = 1").select("value", "ref_id", "distance")

@@ -45,3 +45,12 @@ def test_nulls_and_empty(spark, mapped):
     assert map_values(empty, spark.createDataFrame(REFERENCE)).count() == 0
     none = spark.createDataFrame([], "ref_id int, grade_ar string, grade_latin string, abbrev string")
     assert map_values(spark.createDataFrame([("صحيح",)], "grade string"), none).first().ref_id == 0
+
+
+def test_frames_hold_in_a_small_table(spark):
+    """Words around a phrase are judged one by one, in a table of any size."""
+    want = {"إسناده حسن": 3, "ضعيف الإسناد": 7, "وهو اسناده حسن": 3, "قلت: صحيخ": 1, "أفاد زيد: حسن صحيح": 5, "رواه جماعة": 0, "خرّجه في موضع آخر": 0, "انظر صحيح زيد": 0, "انظر ص 7": 0, "انظر ص 8": 0, "غير حسن": 0}
+    df = spark.createDataFrame([(v,) for v in want], "grade string")
+    assert {r.grade: r.ref_id for r in map_values(df, spark.createDataFrame(REFERENCE)).collect()} == want
+    for v in ("إسناده حسن", "ضعيف الإسناد", "أفاد زيد: حسن صحيح"):
+        assert map_values(spark.createDataFrame([(v,)], "grade string"), spark.createDataFrame(REFERENCE)).first().ref_id == want[v]
