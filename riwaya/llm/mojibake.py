@@ -6,7 +6,10 @@ be text of their surroundings are read as bytes of the page they were shown in
 letter of each byte is learnt by source: expectation-maximization over pairs of
 neighbouring bytes, against the letter bigrams of all sound Arabic text of the
 corpus, started from the code pages in ``WRITTEN``. What is learnt is one string
-for each source, shown page and start, applied with ``translate()``.
+for each source, shown page and start, applied with ``translate()``. Passages in
+other letters that no such pair explains are counted by source and script, too,
+and learnt as ciphers of characters from several starts (all pairs of an
+``ALL_SHOWN`` with a ``WRITTEN`` page, and letters by frequency).
 
 A document is found if a passage is UTF-8 shown otherwise, if its words become
 Arabic by the learnt letters, or if it holds replacement characters (there the
@@ -23,6 +26,7 @@ a source without evidence has no cipher. Text outside the garbled words is kept.
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -39,6 +43,9 @@ from riwaya.llm import codes as C
 #: Code pages in which garbled text is shown, and in which Arabic is written.
 SHOWN = ("cp1252", "latin-1", "mac_roman", "cp1256", "cp1251", "cp437", "cp850")
 WRITTEN = ("cp1256", "iso8859_6", "cp864", "cp720", "mac_arabic")
+#: Code pages from which ciphers of characters are started.
+ALL_SHOWN = tuple("""cp1250 cp1251 cp1252 cp1253 cp1254 cp1255 cp1257 cp1258 cp437 cp737 cp775 cp850 cp852 cp855 cp857 cp858 cp860 cp861 cp862 cp863 cp865 cp866 cp869 cp1125
+koi8_r koi8_u koi8_t ptcp154 kz1048 latin-1 iso8859_2 iso8859_3 iso8859_4 iso8859_5 iso8859_7 iso8859_8 iso8859_9 iso8859_10 iso8859_11 iso8859_13 iso8859_14 iso8859_15 iso8859_16 mac_roman mac_cyrillic mac_greek mac_latin2 mac_turkish mac_iceland hp_roman8""".split())
 #: Letters of the Arabic model, behind the word boundary.
 LETTERS = " ءآأؤإئابةتثجحخدذرزسشصضطظعغفقكلمنهوىي"
 #: Marks that stand in Arabic words besides letters, and punctuation around them.
@@ -51,6 +58,8 @@ LATIN = " abcdefghijklmnopqrstuvwxyz" + "àâäçèéêëîïñóôöùúûüß
 SOUND = "àâäçèéêëîïñóôöùúûüßáíìòãõåøæœğİıŞşĞÀÂÇÈÉÊÎÖÜÑÁÍÓÚÄÔŒ¿¡«»“”„‘’‚–—…•·°²³½§±×÷ﷺ€£¥©®™ ‌‍‎‏­"
 # -------------------------------------------------------------------------
 
+#: Stands for the shown page where none is known; its start is the script.
+OTHER = "other"
 LOST = "�"
 N = len(LETTERS)
 #: The number behind the last Latin letter stands for all other characters that aren't ASCII or Arabic.
@@ -168,6 +177,7 @@ SUSPECT = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]")
 ASCII_LETTER = re.compile("[A-Za-z]")
 ARABIC = re.compile("[ء-ي]")
 #: Without two such characters in a row no word is shown in another script.
+LONG_WORD = re.compile(r"\S{2,}")
 HIGH_RUN = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]{2}")
 FOREIGN = re.compile("[ -ª¬-º¼-ÿŒœƒٹپچڈڑژکگںھہے†-•‰‹›€™ˆ]")
 
@@ -350,6 +360,104 @@ def learn(pairs: np.ndarray, start: str, model: np.ndarray, rounds: int = 15) ->
     return "".join(out), like / max(pairs.sum(), 1)
 
 
+def _foreign(c: str) -> bool:
+    """A character of a script that single-byte pages show, other than Arabic."""
+    return "\xbf" < c < "\u2e80" and not "\u0600" <= c <= "\u06ff" and not "\u2000" <= c <= "\u20cf"
+
+
+def other_passages(text: str) -> list[tuple[int, int]]:
+    """Ranges of words in other letters than their surroundings, whatever page shows them."""
+    out: list[tuple[int, int]] = []
+    for m in LONG_WORD.finditer(text):
+        w = m.group()
+        if sum(map(_foreign, w)) < 2 or ASCII_LETTER.search(w) or ARABIC.search(w):
+            continue
+        if out and not text[out[-1][1] : m.start()].strip():
+            out[-1] = (out[-1][0], m.end())
+        else:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def script(piece: str) -> str:
+    """The block of most of its characters; Latin letters are one."""
+    blocks = [max(ord(c) >> 8, 2) for c in piece if _foreign(c)]
+    return str(max(sorted(set(blocks)), key=blocks.count))
+
+
+@functools.cache
+def all_starts() -> tuple[dict[str, str], ...]:
+    """For each pair of a shown and a written page: character -> character."""
+    out = []
+    for page in ALL_SHOWN:
+        for written in written_tables().values():
+            table = {}
+            for b in range(128, 256):
+                try:
+                    table[bytes([b]).decode(page)] = written[b - 128]
+                except UnicodeDecodeError:
+                    table[chr(b)] = written[b - 128]
+            out.append(table)
+    return tuple(out)
+
+
+#: So many of the likeliest starts are followed.
+STARTS = 4
+#: As LEAST_SCORE, for ciphers of characters, less what the choice of the cipher itself costs by different pair of letters (foreign
+#: text that a cipher has fitted itself to stays below).
+LEAST_LEARNT = 0.25
+
+
+def learn_characters(pairs: dict[tuple[int, int], int], model: np.ndarray) -> list[tuple[dict[str, str], float]]:
+    """Ciphers (character -> letter) for counts of neighbouring characters (0 bounds words), learnt from several starts, and the starts; with their cost by letter."""
+    often: dict[int, int] = {}
+    for (a, b), n in pairs.items():
+        for c in (a, b):
+            often[c] = often.get(c, 0) + n
+    often.pop(0, None)
+    chars = sorted(often, key=lambda c: (-often[c], c))[:128]  # a single-byte page shows no more
+    at = {0: 0} | {c: 1 + k for k, c in enumerate(chars)}
+    table = np.zeros((129, 129))
+    for (a, b), n in pairs.items():
+        table[at.get(a, 0), at.get(b, 0)] += n
+    table[0, 0] = 0
+    logs = np.log(model)
+
+    def value(start: str) -> float:
+        num = np.array([0, *(max(LETTERS.find(c), 0) for c in start)])
+        return float((table * logs[num[:, None], num[None, :]])[(num > 0)[:, None] & (num > 0)[None, :]].sum() + np.log(1e-5) * table[(num == 0)[:, None] | (num == 0)[None, :]].sum())
+
+    starts = {"".join(t.get(chr(c), "\0") for c in chars).ljust(128, "\0") for t in all_starts()}
+    best = sorted(starts, key=lambda x: (-value(x), x))[:STARTS]
+    ranked = [LETTERS[k] for k in np.argsort(-model.sum(1)[1:], kind="stable") + 1]
+    best.append("".join(ranked[: len(chars)]).ljust(128, "\0"))
+    out: list[tuple[dict[str, str], float]] = []
+    size = max(len(pairs), 1)  # a phrase that comes again is no further evidence
+    for start in best:
+        free = len(chars) * np.log(N)
+        for cipher, cost in ((start, np.log(len(starts)) if start in starts else free), (learn(table, start, model)[0], free)):
+            made = {chr(c): x for c, x in zip(chars, cipher, strict=False) if x != "\0"}
+            if all(made != x for x, _ in out):
+                out.append((made, float(cost / size)))
+    return out
+
+
+def best_characters(pieces: list[str], ciphers: list[tuple[dict[str, str], float]], model: np.ndarray, base: float) -> dict[str, str] | None:
+    """The cipher under which the passages are most Arabic, if one makes them so."""
+    best, most = None, -np.inf
+    for cipher, cost in ciphers:
+        made = " ".join("".join(cipher.get(c, c) for c in w) for piece in pieces for w in piece.split())
+        num = np.array([0, *(LETTERS.find(c) if c in LETTERS else 0 if c < "\x80" or c in ARABIC_PUNCTUATION else -1 for c in made if c not in MARKS), 0])
+        letters, high = int((num > 0).sum()), int((num != 0).sum())
+        if letters < LEAST_LETTERS or letters < LEAST_SHARE * high:
+            continue
+        num = np.maximum(num, 0)
+        value = float(np.log(model[num[:-1], num[1:]])[(num[:-1] > 0) | (num[1:] > 0)].mean()) - cost
+        if value - base >= LEAST_LEARNT and value > most:
+            best, most = cipher, value
+    return best
+
+
 def widened(text: str, spans: list[tuple[int, int]], cipher: str, model: np.ndarray) -> list[tuple[int, int]]:
     """Passages of Arabic shown as other Arabic, with the words beside them that read better under the cipher."""
     words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
@@ -428,9 +536,13 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                 lost = LOST in t
                 if not best and (read := latin.restore(plain)):
                     plain, got = read, got + 1
-                if got or best or lost:
+                other = other_passages(plain) if not best and HIGH_RUN.search(plain) else []
+                if got or best or lost or other:
                     page, start = best[:2] if best else (None, None)
                     raw = b"\0".join(shown_bytes(plain[a:b], page) for a, b in passages(plain, page)) if page else None
+                    if other:
+                        piece = " ".join(plain[a:b] for a, b in other)
+                        page, start, raw = OTHER, script(piece), piece.encode("utf-8", "replace")
                     out.append((i, s, plain, got, lost, page, start, raw))
             kinds = [batch.schema.types[0], pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.binary()]
             names = ["id", "source", "text", "got", "lost", "page", "start", "raw"]
@@ -443,7 +555,14 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tables: dict[tuple, np.ndarray] = {}
+            signs: dict[tuple, int] = {}
             for s, page, start, raw in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if page == OTHER:
+                    n = [0, *(ord(c) if c > "\x7f" else 0 for c in raw.decode("utf-8")), 0]
+                    for a, b in zip(n[:-1], n[1:], strict=True):
+                        if a or b:
+                            signs[s, page, start, (a << 21) + b] = signs.get((s, page, start, (a << 21) + b), 0) + 1
+                    continue
                 marks = [128 + b for b, c in enumerate(written_tables()[start]) if c in MARKS]
                 b = np.frombuffer(raw, np.uint8)
                 b = b[~np.isin(b, marks)]
@@ -452,6 +571,7 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                 tables.setdefault((s, page, start), np.zeros(129 * 129, np.int64))
                 tables[s, page, start] += np.bincount(n[:-1] * 129 + n[1:], minlength=129 * 129)
             out = [(*key, int(k), int(t[k])) for key, t in tables.items() for k in np.flatnonzero(t) if k]
+            out += [(*key, n) for key, n in signs.items()]
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["source", "page", "start", "pair", "n"])
@@ -460,22 +580,36 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     pairs = pairs.groupBy("source", "page", "start", "pair").agg(F.sum("n").alias("n"))
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
+        if group.page.iloc[0] == OTHER:
+            made = learn_characters({(k >> 21, k & 0x1FFFFF): n for k, n in zip(group.pair.tolist(), group.n.tolist(), strict=True)}, model)
+            return pd.DataFrame({"source": [group.source.iloc[0]], "page": [OTHER], "start": [group.start.iloc[0]], "cipher": [json.dumps(made)]})
         table = np.zeros(129 * 129)
         table[group.pair.to_numpy()] = group.n.to_numpy()
         start = group.start.iloc[0]
         cipher, _ = learn(table.reshape(129, 129), written_tables()[start], model)
         return pd.DataFrame({"source": [group.source.iloc[0]], "page": [group.page.iloc[0]], "start": [start], "cipher": [cipher]})
 
-    # one group holds 129 x 129 counts at most, however large its source is
+    # one group holds 129 x 129 counts at most (or the pairs of characters of one script), however large its source is
     ciphers = pairs.groupBy("source", "page", "start").applyInPandas(fit, "source string, page string, start string, cipher string")
     joined = found.join(ciphers, ["source", "page", "start"], "left").select("id", "source", "text", "got", "lost", "page", "start", "cipher")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read: dict[str, list[tuple[dict[str, str], float]]] = {}
         for batch in batches:
             out: list[tuple] = []
             for i, s, t, got, lost, page, start, cipher in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 fits = False
-                if page:
+                if page == OTHER:
+                    spans = other_passages(t)
+                    if cipher not in read:
+                        read[cipher] = json.loads(cipher)
+                    best = best_characters([t[a:b] for a, b in spans], read[cipher], model, base)
+                    fits = best is not None
+                    if fits:
+                        table = str.maketrans(best)
+                        for a, b in reversed(spans):
+                            t = t[:a] + t[a:b].translate(table) + t[b:]
+                elif page:
                     best = _best(t, model, base, {(page, start): cipher})
                     fits = best is not None
                     if fits:

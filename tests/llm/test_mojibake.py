@@ -93,5 +93,25 @@ def test_learning_from_a_wrong_start():
     assert learnt[a] == true[a] and learnt[b] == true[b]
 
 
+def test_swaps_that_no_listed_pair_explains(spark):
+    """Pages outside SHOWN, and a swap of no page at all, reach the learning; sound text in other letters stays."""
+    own = " ".join(CLEAN).split()
+    words = sorted({a[:2] + b[2:] for a in own for b in own if len(a) > 2 < len(b)})
+    texts = [" ".join(words[(i * 25 + k) * 101 % len(words)] for k in range(25)) for i in range(60)]
+    swap = dict(zip(m.LETTERS[1:], "югртйавёбшэнзжщсцеиукмплыодьхъфячѐђѓєѕіїј", strict=False))
+    rows = [(k, t, "clean") for k, t in enumerate(texts)]
+    for i, (written, shown) in enumerate([("cp1256", "koi8_r"), ("cp1256", "iso8859_5"), ("iso8859_6", "koi8_r"), ("iso8859_6", "iso8859_5")]):
+        rows += [(1000 + 10 * i + k, garble(texts[k], written, shown), f"s{i}") for k in range(3)]
+    rows += [(2000 + k, "".join(swap.get(c, c) for c in t), "swap") for k, t in enumerate(texts)]
+    russian = "Старая копия рукописи хранится в библиотеке города и была описана впервые в прошлом веке. В ней сохранились рассказы о путешествиях купцов по Волге"
+    rows += [(3000, russian, "ru"), *[(4000 + k, texts[k] + " Старая копия", None) for k in range(30)], (3002, russian + " " + texts[0], "s0")]
+    got = {r.id: r for r in m.repair(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.found}
+    assert set(got) == {1000 + 10 * i + k for i in range(4) for k in range(3)} | {2000 + k for k in range(60)}
+    for i in range(4):
+        for k in range(3):
+            assert got[1000 + 10 * i + k].restored == texts[k]
+    assert np.mean([a == b for k, t in enumerate(texts) for a, b in zip(got[2000 + k].restored, t, strict=True)]) > 0.9
+
+
 def test_empty(spark):
     assert m.repair(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
