@@ -66,10 +66,12 @@ N = len(LETTERS)
 M = len(LATIN) + 1
 #: How much likelier (natural logarithm) a Latin word and all such words of a text must be under another page.
 WORD_GAIN, TEXT_GAIN = 3.0, 6.0
-#: A learnt cipher must make this share of a passage Arabic letters, over so many letters and words.
-LEAST_SHARE, LEAST_LETTERS, LEAST_WORDS = 0.9, 5, 2
+#: A learnt cipher must make this share of a passage Arabic letters, over so many letters.
+LEAST_SHARE, LEAST_LETTERS = 0.9, 5
 #: Mean log probability of a letter pair, relative to sound text, below which a passage isn't Arabic.
 LEAST_SCORE = -1.6
+#: The same for words that stand alone, and how much better than as shown they must read where they are shown as Arabic.
+ALONE_SCORE, ALONE_GAIN = 0.5, 0.5
 
 
 @functools.cache
@@ -187,7 +189,7 @@ def passages(text: str, page: str) -> list[tuple[int, int]]:
     table, out = byte_tables()[page], []
     if page == "cp1256":  # Arabic shown as other Arabic: foreign letters within its words
         spots = [m for m in re.finditer(r"\S+", text) if ARABIC.search(m.group()) and FOREIGN.search(m.group()) and not ASCII_LETTER.search(m.group())]
-        words = list(re.finditer(r"\S+", text)) if len(spots) > 1 else []
+        words = list(re.finditer(r"\S+", text)) if spots else []
         if words:
             at = [k for k, w in enumerate(words) if any(s.start() == w.start() for s in spots)]
             groups, last = [[at[0], at[0]]], at[0]
@@ -197,7 +199,8 @@ def passages(text: str, page: str) -> list[tuple[int, int]]:
                 else:
                     groups.append([k, k])
                 last = k
-            out = [(words[a].start(), words[b].end()) for a, b in groups if b > a]
+            groups = [g for g in groups if g[1] > g[0]] or groups
+            out = [(words[a].start(), words[b].end()) for a, b in groups]
         return out
     for m in re.finditer(r"\S+", text):
         w = m.group()
@@ -495,12 +498,15 @@ def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, st
         raw = b"\0".join(shown_bytes(text[a:b], page) for a, b in spans)
         if not raw:
             continue
-        words = sum(len(text[a:b].split()) for a, b in spans)
+        words = [len(text[a:b].split()) for a, b in spans]
+        alone = max(words) == 1 if page == "cp1256" else sum(words) == 1
         for start in WRITTEN:
             if page == start:
                 continue
             value, share, letters = score(raw, ciphers.get((page, start), written_tables()[start]), model)
-            if share < LEAST_SHARE or letters < LEAST_LETTERS or words < LEAST_WORDS or value - base < LEAST_SCORE:
+            if share < LEAST_SHARE or letters < LEAST_LETTERS or value - base < (ALONE_SCORE if alone else LEAST_SCORE):
+                continue
+            if alone and (share < 1 or (page in WRITTEN and value - score(raw, written_tables()[page], model)[0] < ALONE_GAIN)):
                 continue
             if page in WRITTEN and share <= score(raw, written_tables()[page], model)[1]:
                 continue

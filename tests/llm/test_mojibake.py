@@ -113,5 +113,16 @@ def test_swaps_that_no_listed_pair_explains(spark):
     assert np.mean([a == b for k, t in enumerate(texts) for a, b in zip(got[2000 + k].restored, t, strict=True)]) > 0.9
 
 
+def test_one_garbled_word(spark):
+    """A word that stands alone counts if it reads as Arabic by a margin."""
+    rows = [(k, c, "clean") for k, c in enumerate(CLEAN * 20)]
+    pages = [("cp1256", "latin-1"), ("iso8859_6", "cp1251"), ("iso8859_6", "cp1256")]
+    for i, (written, shown) in enumerate(pages):
+        rows += [(1000 + i, f"{CLEAN[0]} {garble('والشراب', written, shown)} {CLEAN[1]}", f"s{i}")]
+    rows += [(2000, "Копия " + CLEAN[0], "s1"), (2001, CLEAN[0] + " ÈÉÊ ÃÂ " + CLEAN[1], "s0"), (2002, CLEAN[0] + " چگونه " + CLEAN[1], "s2")]
+    got = {r.id: r.restored for r in m.repair(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect() if r.found}
+    assert got == {1000 + i: f"{CLEAN[0]} والشراب {CLEAN[1]}" for i in range(len(pages))}
+
+
 def test_empty(spark):
     assert m.repair(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
