@@ -119,7 +119,7 @@ def p6_shares(spark: SparkSession, at: str) -> DataFrame:
     from riwaya.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return _named(shared_text(_records(spark, at)))
+    return _named(shared_text(_records(spark, at), every=True))
 
 
 def p7_ids(spark: SparkSession, at: str) -> DataFrame:
@@ -186,4 +186,10 @@ SELECT keep_id, id AS copy_id FROM f WHERE id <> keep_id""",
     "p6_found": """WITH r AS (SELECT 'unit' AS rec, id AS rec_id, text_ar AS t FROM unit UNION ALL SELECT 'link', id, evidence_ar FROM link),
 w AS (SELECT rec, rec_id, substr(t, i, 60) AS s FROM r, range(1, length(t) - 58) q(i)), g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (rec, rec_id)) > 1)
 SELECT DISTINCT rec, rec_id FROM w SEMI JOIN g USING (s)""",
+    "p6_shares": """WITH r AS (SELECT 'unit' AS rec, id AS rec_id, coalesce(text_ar, '') AS t FROM unit UNION ALL SELECT 'link', id, coalesce(evidence_ar, '') FROM link),
+w AS (SELECT rec, rec_id, i, substr(t, i, 60) AS s FROM r, range(1, length(t) - 58) q(i)), g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (rec, rec_id)) > 1),
+c AS (SELECT rec, rec_id, least(60, i - lag(i, 1, -99) OVER (PARTITION BY rec, rec_id ORDER BY i)) AS fresh FROM w SEMI JOIN g USING (s)),
+n AS (SELECT rec, rec_id, sum(fresh) AS shared FROM c GROUP BY 1, 2)
+SELECT rec, rec_id, CAST(length(t) AS BIGINT) AS n_chars, CAST(coalesce(shared, 0) AS BIGINT) AS shared_chars, CASE WHEN length(t) > 0 THEN coalesce(shared, 0) / length(t) ELSE 0.0 END AS share
+FROM r LEFT JOIN n USING (rec, rec_id)""",
 }

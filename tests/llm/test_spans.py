@@ -53,3 +53,16 @@ def test_edges(spark):
     assert spans.factors(df.filter("rec < 0")).count() == 0
     two = spark.createDataFrame([(1, long[:500]), (1, long[300:330]), (1, "y" * 70), (2, long[100:200])], "rec long, text string")
     assert {r.rec for r in spans.factors(two).collect()} == {1, 2}
+
+
+def test_a_long_passage_is_one_factor_and_every_record_can_come_out(spark):
+    random.seed(9)
+    piece = lambda n: "".join(random.choice("ابتثجحخدذرزسشص ") for _ in range(n))
+    passage, other = piece(5_000), piece(70_000)  # beyond one segment, too
+    rows = [(1, piece(300) + passage + piece(90)), (2, passage + piece(400)), (3, piece(80)), (4, None), (5, other), (6, piece(10) + other)]
+    df = spark.createDataFrame(rows, "rec long, text string")
+    for hot in (spans.HOT, 0):
+        got = {(r.rec, r.start, r.end, r.source, r.source_start) for r in spans.factors(df, hot).collect()}
+        assert got == {(1, 300, 5_300, 2, 0), (2, 0, 5_000, 1, 300), (5, 0, 70_000, 6, 10), (6, 10, 70_010, 5, 0)}
+    every = {r.rec: (r.n_chars, r.shared_chars, r.share) for r in spans.shared_text(df, every=True).collect()}
+    assert every[3] == (80, 0, 0.0) and every[4] == (0, 0, 0.0) and every[2] == (5_400, 5_000, 5_000 / 5_400) and len(every) == 6
