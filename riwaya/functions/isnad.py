@@ -15,6 +15,8 @@ INNER = "[\u0640\u064B-\u0652\u0670]*"
 LINKS = ("حدثنا", "حدثني", "أخبرنا", "أخبرني", "أنبأنا", "أنبأني", "سمعت", f"عن[{WHITE}]", "قرأت على", "وحدثنا", "وحدثني", f"نا[{WHITE}]", f"ثنا[{WHITE}]")
 #: Verbs of transmission, longer ones first.
 VERBS = ("وحدثنا", "وحدثني", "حدثنا", "حدثني", "أخبرنا", "أخبرني", "أنبأنا", "أنبأني", "سمعت", "قرأت على", "عن")
+#: «He said» at the end of a name.
+SAID = f"[،{WHITE}]*" + r"ق\p{M}*ا\p{M}*ل\p{M}*" + f"[{WHITE}،]*$"
 # -------------------------------------------------------------------------
 
 #: Marks dropped before a segment is tested.
@@ -22,7 +24,6 @@ STRIPPED = "[\u064B-\u0652\u0670\u0640\u06D6-\u06ED]"
 LINK = "(" + "|".join(LINKS) + ")"
 #: A verb whose letters may carry marks, and the white space after it.
 VERB = "(?:" + "|".join("".join(ch + INNER for ch in v) for v in VERBS) + f")(?:[{WHITE}]{INNER})+"
-SAID = f"[،{WHITE}]*" + r"ق\p{M}*ا\p{M}*ل\p{M}*" + f"[{WHITE}،]*$"
 TAIL = f"[،{WHITE}]+$"
 
 

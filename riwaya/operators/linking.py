@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from riwaya.functions import text as X
 from riwaya.functions.normalize import tokens_of
+from riwaya.session import ensure_checkpoint_dir
 from riwaya.sources.readers import EDITION_NAMES, lookup
 
 MIN_WORDS = 5
@@ -26,24 +27,14 @@ def windows(words: Column, n: int) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= n, runs(w)).otherwise(none))
 
 
-def _windows_from(words: Column, least: int) -> Column:
-    """All runs of ``least`` words or more, longest first, from the left."""
-
-    def of(w: Column) -> Column:
-        sizes = F.when(F.size(w) >= least, F.sequence(F.size(w), F.lit(least), F.lit(-1)))
-        return F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
-
-    return let(words, of)
-
-
 def _interior(items: DataFrame, least: int) -> DataFrame:
-    """(item, probe, gram): each window of ``least`` words with the hash of the words strictly inside it."""
-    probe = F.explode(F.array_distinct(windows(tokens_of(F.col("item_text")), least)))
-    return items.select("item", probe.alias("probe")).withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("probe", " "), 2, least - 2), " ")))
+    """(item, pos, probe, gram): each window of ``least`` words, its place, and the hash of the words strictly inside it."""
+    probe = F.posexplode(windows(tokens_of(F.col("item_text")), least)).alias("pos", "probe")
+    return items.select("item", probe).withColumn("gram", F.xxhash64(F.array_join(F.slice(F.split("probe", " "), 2, least - 2), " ")))
 
 
-def containing(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """(item, doc, doc_text): a window of ``least`` words of the item stands in the document as a substring.
+def _hits(items: DataFrame, docs: DataFrame, least: int) -> DataFrame:
+    """(item, pos, doc, doc_text): the window of ``least`` words at a place of the item stands in the document as a substring.
 
     The first and last word of a window may be parts of words of the document,
     the words between are whole words: their hashes are joined, and the window
@@ -53,19 +44,34 @@ def containing(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> Dat
     if least < 3:
         raise ValueError("windows of three words at least")
     inside = F.explode(F.array_distinct(F.transform(windows(tokens_of(F.col("doc_text")), least - 2), lambda g: F.xxhash64(g))))
-    candidates = docs.select("doc", inside.alias("gram")).join(_interior(items, least), "gram").select("item", "probe", "doc")
-    sure = candidates.join(docs, "doc").filter(F.contains("doc_text", "probe"))
-    return sure.groupBy("item", "doc").agg(F.any_value("doc_text").alias("doc_text"))
+    candidates = docs.select("doc", inside.alias("gram")).join(_interior(items, least), "gram").select("item", "pos", "probe", "doc")
+    return candidates.join(docs, "doc").filter(F.contains("doc_text", "probe")).select("item", "pos", "doc", "doc_text")
+
+
+def containing(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """(item, doc, doc_text): some window of ``least`` words of the item stands in the document as a substring."""
+    return _hits(items, docs, least).groupBy("item", "doc").agg(F.any_value("doc_text").alias("doc_text"))
 
 
 def find_quotations(items: DataFrame, docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """(item, doc, quoted, quoted_words): the longest window of the item in the document, the leftmost of equals.
 
-    ``items`` is (item, item_text), ``docs`` (doc, doc_text), both in matching form.
+    ``items`` is (item, item_text), ``docs`` (doc, doc_text), both in matching
+    form. All windows of ``least`` words within a quoted one are quoted, too; so
+    only runs of quoted windows are tried, the longest first, and none after the
+    first that stands in the document.
     """
-    pairs = containing(items, docs, least).join(items, "item")
-    hits = F.filter(_windows_from(tokens_of(F.col("item_text")), least), lambda w: F.contains(F.col("doc_text"), w))
-    return pairs.withColumn("quoted", hits[0]).select("item", "doc", "quoted", F.size(F.split("quoted", " ")).alias("quoted_words"))
+    pairs = _hits(items, docs, least).groupBy("item", "doc").agg(F.array_sort(F.collect_set("pos")).alias("at"), F.any_value("doc_text").alias("doc_text"))
+    # (words, place) of each run of neighbouring places, by length and place
+    at = F.col("at")
+    ends = lambda a, i: F.transform(F.filter(F.slice(at, i + 1, F.size(at)), lambda b, k: b - a == k), lambda b: F.struct((a - b - least).alias("less"), a.alias("first")))
+    runs = F.array_sort(F.flatten(F.transform(at, ends)))
+    words = tokens_of(F.col("item_text"))
+    tried = pairs.withColumn("runs", runs).join(items.select("item", words.alias("words")), "item")
+    run = lambda r: F.array_join(F.slice(F.col("words"), r["first"] + 1, -r["less"]), " ")
+    none = F.lit(None).cast("string")
+    quoted = F.aggregate("runs", none, lambda got, r: F.coalesce(got, let(run(r), lambda w: F.when(F.contains(F.col("doc_text"), w), w))))
+    return tried.select("item", "doc", quoted.alias("quoted")).withColumn("quoted_words", F.size(F.split("quoted", " ")))
 
 
 def other_places(quotes: DataFrame, items: DataFrame) -> DataFrame:
@@ -85,17 +91,30 @@ def find_by_name(titles: DataFrame, docs: DataFrame) -> DataFrame:
     """(item, doc, named, attested, title_source): the first title, in list order, that stands in the document.
 
     ``titles`` is (item, place, name, needle, attested, title_source). A title
-    stands anywhere, also within words. So its first word is a part of a word of
-    the document: parts of the vocabulary are joined by equality with first
-    words, then the vocabulary with the documents, and the title is looked for.
+    stands anywhere, also within words: its first word ends a word of the
+    document, its last word begins one, those between are whole words, and a
+    single word is any part of one. So these parts of the *vocabulary* are joined
+    with the titles' words by equality; each title takes its rarest word to the
+    documents, where the whole title is looked for.
     """
     titles = titles.filter("needle <> ''")
-    heads = titles.select("needle", F.split("needle", " ")[0].alias("head")).distinct()
+    words = F.split("needle", " ")
+    n = F.size(words)
+    slots = titles.select("needle").distinct().select("needle", n.alias("n"), F.posexplode(words).alias("slot", "part"))
+    way = F.when(F.col("n") == 1, "part").when(F.col("slot") == 0, "end").when(F.col("slot") == F.col("n") - 1, "begin").otherwise("whole")
+    slots = slots.select("needle", "slot", "part", way.alias("way"))
     inside = docs.select("doc", F.explode(F.array_distinct(tokens_of(F.col("doc_text")))).alias("word"))
-    spots = F.sequence(F.lit(1), F.length("word"))
-    parts = F.flatten(F.transform(spots, lambda i: F.transform(F.sequence(i, F.length("word")), lambda j: F.substring(F.col("word"), i, j - i + 1))))
-    words = inside.select("word").distinct().withColumn("head", F.explode(F.array_distinct(parts)))
-    pairs = words.join(heads, "head").select("needle", "word").join(inside, "word").select("needle", "doc").distinct()
+    vocabulary = inside.groupBy("word").agg(F.count("*").alias("df"))
+    size = F.length("word")
+    cut = lambda way, parts: F.transform(parts, lambda x: F.struct(F.lit(way).alias("way"), x.alias("part")))
+    from_to = lambda i, j: F.substring(F.col("word"), i, j - i + 1)
+    all_parts = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(F.sequence(i, size), lambda j: from_to(i, j)))))
+    ends = F.transform(F.sequence(F.lit(1), size), lambda i: from_to(i, size))
+    begins = F.transform(F.sequence(F.lit(1), size), lambda j: from_to(F.lit(1), j))
+    keyed = vocabulary.select("word", "df", F.explode(F.concat(cut("part", all_parts), cut("end", ends), cut("begin", begins), cut("whole", F.array("word")))).alias("x")).select("word", "df", "x.*")
+    matched = slots.join(keyed, ["way", "part"]).select("needle", "slot", "word", "df")
+    rarest = matched.groupBy("needle", "slot").agg(F.sum("df").alias("docs")).groupBy("needle").agg(F.min_by("slot", F.struct("docs", "slot")).alias("slot"))
+    pairs = matched.join(rarest, ["needle", "slot"]).select("needle", "word").join(inside, "word").select("needle", "doc").distinct()
     hits = pairs.join(docs, "doc").filter(F.contains("doc_text", "needle")).select("needle", "doc").join(titles, "needle")
     first = F.min(F.struct("place", "name", "attested", "title_source")).alias("x")
     return hits.groupBy("item", "doc").agg(first).select("item", "doc", F.col("x.name").alias("named"), "x.attested", "x.title_source")
@@ -109,10 +128,15 @@ def merge_links(quotes: DataFrame, names: DataFrame) -> DataFrame:
     return q.unionByName(n).withColumn("ambiguous", F.size("shared_with") > 0)
 
 
-def link_all(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """The links of all items: found, checked for ambiguity, merged."""
-    quotes = find_quotations(items.select("item", "item_text"), docs, least)
-    also = other_places(quotes, items)
+def link_all(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int = MIN_WORDS, places: DataFrame | None = None) -> DataFrame:
+    """The links of all items: found, checked for ambiguity, merged.
+
+    A phrase is ambiguous if others of ``places`` hold it, which are the items
+    where nothing else is given. Quotations are found once and kept.
+    """
+    ensure_checkpoint_dir(items.sparkSession)
+    quotes = find_quotations(items.select("item", "item_text"), docs, least).checkpoint()
+    also = other_places(quotes, items if places is None else places)
     quotes = quotes.join(also, ["item", "quoted"], "left").withColumn("also", F.coalesce("also", F.array().cast("array<string>")))
     return merge_links(quotes, find_by_name(titles, docs))
 

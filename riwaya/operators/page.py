@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riwaya.functions.text import trim_white
+from riwaya.operators.numbering import beside, numbered, stretch_of
 
 METHOD_RANK = {"quotation": 0, "naming": 1, "manual": 2}
 
@@ -25,10 +26,14 @@ def linked_units(links: DataFrame, units: DataFrame, sources: DataFrame) -> Data
 
 
 def ranked_hadiths(links: DataFrame, units: DataFrame, sources: DataFrame) -> DataFrame:
-    """Narrations of each verse with their place: unambiguous first, then by method, book and number."""
+    """Narrations of each verse with their place: unambiguous first, then by method, book and number.
+
+    A verse may have a great share of all links, so its narrations are numbered by stretches of equal method, book and range of numbers.
+    """
     rows = linked_units(links, units, sources).filter("kind = 'hadith'")
-    order = Window.partitionBy("from_unit").orderBy("ambiguous", method_rank(F.col("method")), F.asc_nulls_first("book_slug"), F.coalesce("hadith_no", F.lit(0)), "id")
-    return rows.withColumn("place", F.row_number().over(order))
+    number = F.coalesce("hadith_no", F.lit(0))
+    coarse = [F.col("ambiguous"), method_rank(F.col("method")), F.col("book_slug"), stretch_of(number, 100)]
+    return numbered(rows, "place", ["from_unit"], coarse, [number, F.col("id")])
 
 
 def rulings_in_order(gradings: DataFrame) -> DataFrame:
@@ -94,10 +99,9 @@ def verse_order(surahs: DataFrame) -> DataFrame:
 
 
 def neighbours(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Previous and next value in index order within a group; a value of 0 counts as none."""
-    w = Window.partitionBy(group).orderBy(order)
-    none = lambda c: F.when(c != 0, c)
-    return rows.withColumn("prev", none(F.lag(value).over(w))).withColumn("next", none(F.lead(value).over(w)))
+    """Previous and next value in index order within a group; a value of 0 counts as none. The order has no equals."""
+    none = lambda c: F.when(F.col(c) != 0, F.col(c))
+    return beside(rows, group, order, value).withColumns({"prev": none("_prev"), "next": none("_next")}).drop("_prev", "_next")
 
 
 def clamp(value: Column, most: Column) -> Column:

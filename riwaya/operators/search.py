@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riwaya.functions import text as X
 from riwaya.functions.normalize import normalize
+from riwaya.operators.numbering import numbered
 
 
 def text_hits(docs: DataFrame, needle: str, limit: int | None = 60, scope: str | None = None) -> DataFrame:
@@ -58,13 +59,16 @@ def quick_hits(branches: list[DataFrame], needle: str, limit: int = 40) -> DataF
     return out.orderBy("branch", "pos").limit(limit)
 
 
-def paged(rows: DataFrame, order: list[Column], size: int, group: list[str] | None = None, least_pages: int = 1) -> DataFrame:
-    """Rows with page (from 1), place on the page and the number of pages of their group."""
+def paged(rows: DataFrame, order: list[Column], size: int, group: list[str] | None = None, least_pages: int = 1, coarse: list[Column] | None = None) -> DataFrame:
+    """Rows with page (from 1), place on the page and the number of pages of their group.
+
+    ``coarse`` are columns that come first in the order and cut a group into
+    stretches (see :func:`numbered`); without them a group is one stretch.
+    """
     group = group or []
-    n = F.row_number().over((Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))).orderBy(*order))
     total = rows.groupBy(*group).agg(F.count("*").alias("_total"))
-    out = rows.withColumn("_n", n)
-    out = out.join(total, group) if group else out.withColumn("_total", F.lit(total.first()[0]))
+    out = numbered(rows, "_n", group, coarse or [], order)
+    out = out.join(total, group) if group else out.withColumn("_total", total.scalar())
     out = out.withColumn("pages", F.greatest(F.lit(least_pages), F.ceil(F.col("_total") / size)).cast("int"))
     return out.withColumn("page", F.ceil(F.col("_n") / size).cast("int")).withColumn("place", ((F.col("_n") - 1) % size + 1).cast("int")).drop("_n", "_total")
 

@@ -79,20 +79,73 @@ def check(df: DataFrame, kind: str, parents: dict[str, DataFrame] | None = None)
     return flagged.filter("not _bad").drop("_bad"), flagged.filter("_bad").drop("_bad")
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path and a maker of paths."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return make(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), make
+
+
+def _rename(files, a, b) -> None:
+    if not files.rename(a, b):
+        raise OSError(f"{a} can't be renamed to {b}")
+
+
 def publish(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write beside the table and swap: readers see the old or the new table, never a part."""
-    spark: SparkSession = df.sparkSession
+    """Write beside the table, then put the new one in the old one's place; the old one stays if that fails.
+
+    A plain path can't change its content at once: for a moment between two
+    renames no table is there. Where readers mustn't notice, use
+    :func:`publish_version`.
+    """
+    files, make = _files(df.sparkSession, path)
+    new, now, old = make(path + "__new"), make(path), make(path + "__old")
+    if files.exists(old):  # an earlier run ended between the renames, or before it could clean up
+        if files.exists(now):
+            files.delete(old, True)
+        else:
+            _rename(files, old, now)
     writer = df.write.mode("overwrite")
-    writer = writer.partitionBy(*partition_by) if partition_by else writer
-    writer.parquet(path + "__new")
-    jvm = spark.sparkContext._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at(path)):
-        fs.delete(at(path + "__old"), True)
-        fs.rename(at(path), at(path + "__old"))
-    fs.rename(at(path + "__new"), at(path))
-    fs.delete(at(path + "__old"), True)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path + "__new")
+    if files.exists(now):
+        _rename(files, now, old)
+    try:
+        _rename(files, new, now)
+    except Exception:
+        if files.exists(old) and not files.exists(now):
+            _rename(files, old, now)
+        raise
+    files.delete(old, True)
+
+
+def _versions(files, make, path: str) -> list[int]:
+    """Versions that are complete: the file that ends a write is there."""
+    if not files.exists(make(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(make(path))]
+    at = [int(n.removeprefix("version=")) for n in names if n.startswith("version=")]
+    return sorted(k for k in at if files.exists(make(f"{path}/version={k}/_SUCCESS")))
+
+
+def publish_version(df: DataFrame, path: str, keep: int = 2, partition_by: list[str] | None = None) -> int:
+    """Write the table as a new version under ``path``, and drop all but the last ``keep``.
+
+    A version counts from the moment its last file is written, so a reader sees
+    the old or the new table, never a part, and a failed write changes nothing.
+    """
+    files, make = _files(df.sparkSession, path)
+    n = max(_versions(files, make, path), default=0) + 1
+    writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/version={n}")
+    for k in _versions(files, make, path)[:-keep]:
+        files.delete(make(f"{path}/version={k}"), True)
+    return n
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest complete version under ``path``; None if there is none."""
+    files, make = _files(spark, path)
+    n = max(_versions(files, make, path), default=None)
+    return None if n is None else spark.read.parquet(f"{path}/version={n}")
 
 
 def report_unavailable(failures: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from riwaya.functions import classify, isnad
 from riwaya.functions import text as X
 from riwaya.functions.normalize import normalize, tokens
 from riwaya.operators import linking, page, search, store
+from riwaya.operators.numbering import stretch_of
 from riwaya.plans import core_sql
 from riwaya.sources import readers
 
@@ -331,7 +332,7 @@ def section_page(spark: SparkSession, at: str) -> DataFrame:
     """The pages of one section of a book, with previews."""
     t = Tables(spark, at)
     rows = t.kind("hadith").filter((F.col("book_slug") == core_sql.SCOPE) & (F.floor(F.col("hadith_no") / 1000) == 1))
-    return search.paged(rows.select("id", X.preview(F.col("text_ar")).alias("preview")), [F.col("id")], 15)
+    return search.paged(rows.select("id", X.preview(F.col("text_ar")).alias("preview")), [F.col("id")], 15, coarse=[stretch_of(F.col("id"))])
 
 
 @query
@@ -387,7 +388,7 @@ def paragraph_rows(spark: SparkSession, at: str) -> DataFrame:
 @query
 def paging_15(spark: SparkSession, at: str) -> DataFrame:
     rows = Tables(spark, at).kind("hadith").select("id", "book_slug")
-    return search.paged(rows, [F.col("id")], 15, ["book_slug"])
+    return search.paged(rows, [F.col("id")], 15, ["book_slug"], coarse=[stretch_of(F.col("id"))])
 
 
 def _narrators(t: Tables) -> DataFrame:

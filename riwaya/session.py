@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int = 8, name: str = "riwaya") -> SparkSession:
-    """A local session with the settings that the tests and the bench use."""
-    return (
+def local_session(cores: int = 8, name: str = "riwaya", checkpoints: str | None = None) -> SparkSession:
+    """A local session with the settings that the tests and the bench use; ``checkpoints`` as in :func:`ensure_checkpoint_dir`."""
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(cores))
@@ -19,21 +17,34 @@ def local_session(cores: int = 8, name: str = "riwaya") -> SparkSession:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
+    return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints, shared by all executors.
+def ensure_checkpoint_dir(spark: SparkSession, folder: str | None = None) -> str:
+    """The folder for checkpoints, which all executors share.
 
-    ``spark.checkpoint.dir`` wins. Only where it is unset (as in tests on one
-    machine) a temporary folder is set.
+    The session's ``spark.checkpoint.dir`` wins, then ``folder``. Where neither is
+    given, as in tests, a folder beside the session's tables is taken (the
+    warehouse is shared by definition) and removed when the application ends.
     """
     sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     now = sc.getCheckpointDir()
     if now:
         return now
-    at = at or tempfile.mkdtemp(prefix="riwaya-checkpoint-")
+    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or folder
+    if not at:
+        at = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints/{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
     sc.setCheckpointDir(at)
-    return at
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under the checkpoint folder, for tables and files that a job writes and reads again."""
+    unique = spark.sparkContext._jvm.java.util.UUID.randomUUID().toString()
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{unique}"

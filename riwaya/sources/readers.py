@@ -20,6 +20,8 @@ EDITION_NAMES = {
 }
 #: Labels of a ruling in HTML, in the order of muhaddith, book, page, grade, rawi.
 HTML_LABELS = ("المحدث", "المصدر", "الصفحة أو الرقم", "خلاصة حكم المحدث", "الراوي")
+#: Where a ruling begins and ends in HTML.
+HTML_OPEN, HTML_CLOSE = '<div class="hadith-info">', r"</div>\s*</div>"
 # -------------------------------------------------------------------------
 
 
@@ -34,9 +36,12 @@ def read_quran(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("quran").alias("v")).select(F.col("v.chapter").alias("surah"), F.col("v.verse").alias("ayah"), F.col("v.text").alias("text_ar"))
 
 
-def read_hadith_books(spark: SparkSession, path: str) -> DataFrame:
-    """(book_slug, hadith_no, text_ar, text_norm, locus_ar) of files named by their slug; rows without number or text are left out."""
-    raw = spark.read.schema(S.HADITH_BOOK_JSON).json(path, multiLine=True).withColumn("book_slug", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
+def read_hadith_books(spark: SparkSession, path: str, slug: str = r"([^/]+)\.json$") -> DataFrame:
+    """(book_slug, hadith_no, text_ar, text_norm, locus_ar) of all books in a folder; rows without number or text are left out.
+
+    ``slug`` finds a book's slug in the path of its file.
+    """
+    raw = spark.read.schema(S.HADITH_BOOK_JSON).option("recursiveFileLookup", "true").json(path, multiLine=True).withColumn("book_slug", F.regexp_extract(F.input_file_name(), slug, 1))
     rows = raw.select("book_slug", F.explode("hadiths").alias("h")).filter("h.idInBook is not null and length(h.arabic) > 0")
     text = F.col("h.arabic")
     return rows.select("book_slug", F.col("h.idInBook").alias("hadith_no"), text.alias("text_ar"), normalize(text).alias("text_norm"), F.format_string("%s — حديث رقم %d", lookup(BOOK_NAMES, F.col("book_slug")), F.col("h.idInBook")).alias("locus_ar"))
@@ -93,13 +98,20 @@ def parse_rulings(answers: DataFrame, column: str = "body") -> DataFrame:
     """
     result = F.get_json_object(column, "$.ahadith.result")
     listed = F.from_json(result, f"array<{S.RULING}>")
-    blocks = F.regexp_extract_all(result, F.lit(r'(?s)<div class="hadith-info">(.*?)</div>\s*</div>'), F.lit(1))
-    pick = lambda b, label: trim_white(F.regexp_extract(b, label + r"\s*:?\s*</span>\s*([^<]+)", 1))
 
-    def of_html(b: Column) -> Column:
-        m, k, p, g, r = (pick(b, x) for x in HTML_LABELS)
+    def of_html(block: Column) -> Column:
+        # each span opens a field: its label, the end of the span, and the value up to the next tag
+        fields = F.filter(F.split(block, "<span[^>]*>"), lambda x, i: i > 0)
+        label = lambda x: F.regexp_replace(trim_white(F.substring_index(x, "</span>", 1)), r"[\s:]+$", "")
+        value = lambda x: trim_white(F.substring_index(F.get(F.split(x, "</span>"), F.lit(1)), "<", 1))
+        pick = lambda name: F.coalesce(F.get(F.transform(F.filter(fields, lambda x: label(x) == name), value), F.lit(0)), F.lit(""))
+        m, k, p, g, r = map(pick, HTML_LABELS)
         return F.struct(m.alias("mohdith"), k.alias("book"), p.alias("numberOrPage"), g.alias("grade"), F.lit("").alias("explainGrade"), r.alias("rawi"), F.lit("").alias("hadith"))
 
+    # a block counts once it is closed
+    closed = F.filter(F.split(result, HTML_OPEN), lambda b, i: (i > 0) & b.rlike(HTML_CLOSE))
+    blocks = F.transform(closed, lambda b: F.split(b, HTML_CLOSE, 2)[0])
+
     items = F.when(F.trim(result).startswith("["), listed).otherwise(F.transform(blocks, of_html))
     rows = answers.select(*[c for c in answers.columns if c != column], F.explode(items).alias("r"))
     rows = rows.select(
@@ -110,11 +122,19 @@ def parse_rulings(answers: DataFrame, column: str = "body") -> DataFrame:
     return rows.filter("muhaddith <> '' and grade <> ''")
 
 
-def read_search_index(spark: SparkSession, path: str) -> DataFrame:
-    """(num, sec, txt, grades, chain) of a positional index file: an array of arrays."""
+def read_search_index(spark: SparkSession, path: str, books: list[str] | None = None) -> DataFrame:
+    """(pos, num, sec, txt, grades, chain) of a positional index file, an array of arrays; pos is the place in its file.
+
+    Where ``path`` holds a folder ``book=<slug>`` for each book, the book comes
+    out, too, and with ``books`` no other folders are read.
+    """
     at = lambda k: F.get("r", F.lit(k))
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "r"))
-    return rows.select("pos", at(0).try_cast("int").alias("num"), at(1).try_cast("int").alias("sec"), at(2).alias("txt"), F.from_json(at(3), "array<array<string>>").alias("grades"), F.from_json(at(4), "array<array<string>>").alias("chain"))
+    raw = spark.read.text(path, wholetext=True)
+    own = ["book"] if "book" in raw.columns else []
+    if books is not None:
+        raw = raw.filter(F.col("book").isin(books))
+    rows = raw.select(*own, F.posexplode(F.from_json("value", "array<array<string>>")).alias("pos", "r"))
+    return rows.select(*own, "pos", at(0).try_cast("int").alias("num"), at(1).try_cast("int").alias("sec"), at(2).alias("txt"), F.from_json(at(3), "array<array<string>>").alias("grades"), F.from_json(at(4), "array<array<string>>").alias("chain"))
 
 
 def first_available(*candidates: Column) -> Column:

@@ -55,23 +55,33 @@ def test_manual_links(spark, tmp_path):
     assert readers.read_manual_links(spark, str(tmp_path / "none.json")).count() == 0
 
 
-def test_landing(tmp_path):
+def test_landing(spark, tmp_path):
     calls = []
 
-    def get(url):
-        calls.append(url)
-        if "down" in url:
+    def get(address):
+        calls.append(address)
+        if "down" in address:
             raise OSError("no route")
-        return url.encode()
-
-    at = landing.land("u1", tmp_path, get=get)
-    assert at.read_bytes() == b"u1" and landing.land("u1", tmp_path, get=get) == at and calls == ["u1"]
-    landing.land("u1", tmp_path, refresh=True, get=get)
-    assert calls == ["u1", "u1"]
-    with pytest.raises(landing.SourceUnavailable):
-        landing.land("down", tmp_path, get=get)
-    landing.cache_path("down2", tmp_path).write_bytes(b"old")
-    assert landing.land("down2", tmp_path, refresh=True, get=get).read_bytes() == b"old"
-    assert landing.land_first(["down3", "u2"], tmp_path, get=get).read_bytes() == b"u2"
-    with pytest.raises(landing.SourceUnavailable):
-        landing.land_first(["down4"], tmp_path, get=get)
+        return f"{address} {len(calls)}".encode()
+
+    zone = landing.Zone(tmp_path / "zone", get)
+    at = zone.body("u1")
+    assert at.read_bytes() == b"u1 1" and zone.body("u1") == at and calls == ["u1"], "what is held isn't asked for again"
+    assert zone.body("u1", again=True).read_bytes() == b"u1 2" and zone.body("u1").read_bytes() == b"u1 2", "the newest body counts"
+    with pytest.raises(landing.NothingLanded, match="no route"):
+        zone.body("down")
+    assert zone.body("down", "u2").read_bytes().startswith(b"u2"), "the next mirror answers"
+    old = landing.Zone(tmp_path / "zone", lambda address: (_ for _ in ()).throw(OSError("gone")))
+    assert old.body("u1", again=True).read_bytes() == b"u1 2", "an older body serves where nothing new is to be had"
+    with pytest.raises(landing.NothingLanded):
+        zone.body()
+    made = zone.fill(["u1", "u3", "u3", "down: x"])
+    assert sorted(a.address for a in made) == ["down: x", "u3"] and {a.address for a in made if a.digest} == {"u3"}
+    assert [r.message for r in landing.failures(spark, zone).orderBy("message").collect()] == ["down: no route", "down: x: no route"]
+    assert landing.failures(spark, landing.Zone(tmp_path / "none")).count() == 0
+
+
+def test_equal_bodies_are_kept_once(tmp_path):
+    zone = landing.Zone(tmp_path, lambda address: b"same")
+    zone.fill(["a", "b"])
+    assert len(list((tmp_path / "bodies").iterdir())) == 1 and set(zone.held()) == {"a", "b"}
