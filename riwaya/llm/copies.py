@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from riwaya.llm import codes as C
 
 SKIP = 0
+#: Copies that are compared with their first row by one task, about.
+TOGETHER = 50_000
 DIGIT_BIT = np.uint32(1 << 24)
 
 
@@ -180,11 +182,13 @@ def hidden_copies(df: DataFrame, id_column: str, rules: dict[str, str], hasher:
             yield pa.RecordBatch.from_arrays([ids, pa.array(hasher(batch, ruled))], names=["id", "key"])
 
     hashed = rows.mapInArrow(keys, "id long, key long").checkpoint()
-    least = hashed.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").select("key", "keep_id")
-    pairs = hashed.join(least, "key").filter("id <> keep_id").select("key", "keep_id", F.col("id").alias("copy_id"))
-    a = rows.select(F.col("id").alias("keep_id"), F.struct(*names).alias("a"))
+    # the row of the smallest id meets its copies in parts, so that one of very many copies isn't in one task
+    least = hashed.groupBy("key").agg(F.min("id").alias("keep_id"), F.count("*").alias("n")).filter("n > 1").select("key", "keep_id", F.ceil(F.col("n") / TOGETHER).alias("parts"))
+    pairs = hashed.join(least, "key").filter("id <> keep_id").select("key", "keep_id", F.col("id").alias("copy_id"), F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    kept = least.select("keep_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    a = kept.join(rows.select(F.col("id").alias("keep_id"), F.struct(*names).alias("a")), "keep_id")
     b = rows.select(F.col("id").alias("copy_id"), F.struct(*names).alias("b"))
-    checked = pairs.join(b, "copy_id").join(a, "keep_id")
+    checked = pairs.join(b, "copy_id").join(a, ["keep_id", "part"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

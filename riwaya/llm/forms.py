@@ -189,8 +189,11 @@ def _compose(codes: np.ndarray, at: np.ndarray, t: dict) -> tuple[np.ndarray, np
     out, keep = codes.copy(), np.ones(len(codes), bool)
     last = np.zeros(len(codes), np.uint8)
     round_of = marks - base
-    for k in range(1, int(round_of.max()) + 1):
-        m, b = marks[round_of == k], base[round_of == k]
+    # by rounds: the marks of each round stand together, so a long run of marks costs its own length only
+    by_round = np.argsort(round_of, kind="stable")
+    ends = np.searchsorted(round_of[by_round], np.arange(1, int(round_of.max()) + 2))
+    for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+        m, b = marks[by_round[lo:hi]], base[by_round[lo:hi]]
         want = out[b].astype(np.int64) << 21 | codes[m]
         at_pair = np.minimum(np.searchsorted(t["pair"], want), len(t["pair"]) - 1)
         hit = (t["pair"][at_pair] == want) & (last[b] < ccc[m]) & (t["ccc"][out[b]] == 0)
@@ -252,25 +255,48 @@ def form_keys(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
     return df.select(id_column, *names).mapInArrow(run, "field string, id long, raw1 long, raw2 long, form1 long, form2 long")
 
 
-def lookalike_pairs(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+#: Members of a class that are expanded into pairs by one task, about.
+MEMBERS = 20_000
+
+
+def lookalike_classes(df: DataFrame, id_column: str, columns: list[str]) -> DataFrame:
+    """(field, unit, rep): the rows whose form stands under several stored values, with the smallest id of their stored value."""
+    rows, classes = _classes(form_keys(df.filter(F.col(id_column).isNotNull()), id_column, columns).checkpoint())
+    return rows.join(classes.select(*CLASS, "rep"), CLASS).select("field", F.col("id").alias("unit"), "rep")
+
+
+CLASS = ["field", "form1", "form2", "raw1", "raw2"]
+
+
+def _classes(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of forms that stand under several stored values, and their classes (equal stored values) with rep, n."""
+    classes = keys.groupBy(*CLASS).agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    mixed = classes.groupBy(*CLASS[:3]).agg(F.count("*").alias("values")).filter("values > 1").select(*CLASS[:3])
+    return keys.join(mixed, CLASS[:3]), classes.join(mixed, CLASS[:3])
+
+
+def lookalike_pairs(df: DataFrame, id_column: str, columns: list[str], members: bool = True) -> DataFrame:
     """Pairs (field, unit_a, unit_b) of rows whose values look the same but aren't equal as stored.
 
-    Only groups that hold at least two different stored values are joined, which
-    a pre-aggregated minimum and maximum decides; a group of mere copies, however
-    large, costs one row. Keys are made once and kept. Nulls are in no pair, rows without id neither; '' pairs with texts that print nothing.
+    Rows with equal stored values are one class; only different classes of a form
+    are paired, then expanded into their rows, a class of many rows in several
+    tasks. A group of mere copies, however large, costs one row. With
+    ``members=False`` the pairs are those of representatives; their rows are in
+    :func:`lookalike_classes`. Keys are made once and kept. Nulls are in no pair,
+    rows without id neither; '' pairs with texts that print nothing.
     """
-    keys = form_keys(df.filter(F.col(id_column).isNotNull()), id_column, columns).checkpoint()
-    mixed = (
-        keys.groupBy("field", "form1", "form2")
-        .agg(F.min(F.struct("raw1", "raw2")).alias("lo"), F.max(F.struct("raw1", "raw2")).alias("hi"))
-        .filter("lo <> hi")
-        .select("field", "form1", "form2")
-    )
-    rows = keys.join(mixed, ["field", "form1", "form2"])
-    a = rows.select("field", "form1", "form2", F.col("id").alias("unit_a"), F.col("raw1").alias("a1"), F.col("raw2").alias("a2"))
-    b = rows.select("field", "form1", "form2", F.col("id").alias("unit_b"), F.col("raw1").alias("b1"), F.col("raw2").alias("b2"))
-    return (
-        a.join(b, ["field", "form1", "form2"])
-        .filter("unit_a < unit_b and (a1 <> b1 or a2 <> b2)")
-        .select("field", "unit_a", "unit_b")
-    )
+    rows, classes = _classes(form_keys(df.filter(F.col(id_column).isNotNull()), id_column, columns).checkpoint())
+    parts = F.ceil(F.col("n") / MEMBERS)
+    a = classes.select(*CLASS[:3], F.col("raw1").alias("a1"), F.col("raw2").alias("a2"), F.col("rep").alias("rep_a"), parts.alias("parts_a"))
+    b = classes.select(*CLASS[:3], F.col("raw1").alias("b1"), F.col("raw2").alias("b2"), F.col("rep").alias("rep_b"), parts.alias("parts_b"))
+    pairs = a.join(b, CLASS[:3]).filter("a1 < b1 or (a1 = b1 and a2 < b2)")
+    if not members:
+        return pairs.select("field", F.least("rep_a", "rep_b").alias("unit_a"), F.greatest("rep_a", "rep_b").alias("unit_b"))
+    # rows know the number of parts of their class; a pair meets each part of both sides
+    sized = rows.join(classes.select(*CLASS, parts.alias("parts")), CLASS).select("field", "raw1", "raw2", "id", F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    spread = pairs.withColumn("part_a", each("parts_a")).withColumn("part_b", each("parts_b"))
+    of = lambda k, name: sized.select("field", F.col("raw1").alias(f"{k}1"), F.col("raw2").alias(f"{k}2"), F.col("part").alias(f"part_{k}"), F.col("id").alias(name))
+    both = spread.join(of("a", "x"), ["field", "a1", "a2", "part_a"]).join(of("b", "y"), ["field", "b1", "b2", "part_b"])
+    # a repeated row of one id is no partner of itself
+    return both.filter("x <> y").select("field", F.least("x", "y").alias("unit_a"), F.greatest("x", "y").alias("unit_b"))

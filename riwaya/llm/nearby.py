@@ -46,6 +46,12 @@ BITS = 256
 BLOCK, DEPTH = 4000, 3
 #: Words in fewer than one of so many texts aren't ranked among themselves. Bounds the table of frequencies: it has at most RARE times as many entries as a text has words on average.
 RARE = 5000
+#: Words in the table of frequencies at most; where texts are so long that RARE would give more, fewer words are ranked.
+KNOWN = 2_000_000
+#: A block of more texts is cut into cells, and searched by pairs of cells.
+LARGE = 4 * BLOCK
+#: Rows that are searched at a time, about.
+ROWS = 50_000
 #: Similarity as a fraction.
 UP, DOWN = 7, 10
 
@@ -257,53 +263,91 @@ def _bag_rows(df: DataFrame, id_column: str, text: str) -> DataFrame:
     return df.filter(F.col(id_column).isNotNull()).select(id_column, text).mapInArrow(run, f"id {kind}, bag1 long, bag2 long, bag array<long>")
 
 
+def equal_bags(df: DataFrame, id_column: str = "id", text: str = "text_ar") -> DataFrame:
+    """(unit, rep): each row with words, and the smallest id of those with an equal bag."""
+    rows = _bag_rows(df, id_column, text).select("id", "bag1", "bag2").checkpoint()
+    least = rows.groupBy("bag1", "bag2").agg(F.min("id").alias("rep"))
+    return rows.join(least, ["bag1", "bag2"]).select(F.col("id").alias("unit"), "rep")
+
+
 def near_pairs(df: DataFrame, id_column: str = "id", text: str = "text_ar", members: bool = True) -> DataFrame:
     """Pairs (unit_a, unit_b), unit_a < unit_b, of rows with similarity 0.7 or more.
 
     With ``members=False`` the pairs are those of representatives (the smallest
-    id of each group of equal bags).
+    id of each group of equal bags); their members are in :func:`equal_bags`.
     """
     spark = df.sparkSession
     rows = _bag_rows(df, id_column, text).checkpoint()
     groups = rows.groupBy("bag1", "bag2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = rows.join(groups.select("bag1", "bag2", F.col("rep").alias("id")), ["bag1", "bag2", "id"], "left_semi").dropDuplicates(["bag1", "bag2"]).select("id", "bag")
+    number, words = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
     texts = groups.count()
-    # bounded: see RARE
-    often = rows.select(F.explode("bag").alias("e")).groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") * RARE >= rows.count())
+    # a word that is in n of the texts is in the table if n * rare >= all: at most rare times the words of a text
+    rare = min(RARE, max(KNOWN * number // max(words, 1), 1))
+    often = rows.select(F.explode("bag").alias("e")).groupBy("e").agg(F.count("*").alias("n")).filter(F.col("n") * rare >= number)
     found = often.toArrow().sort_by("e")
     heavy, share = found.column("e").to_numpy(), found.column("n").to_numpy() / max(texts, 1)
     known = spark.sparkContext.broadcast((heavy, np.minimum(share, 1.0)))
     kind = rows.schema["id"].dataType.simpleString()
 
+    def blocks(bag: pa.Array) -> tuple[np.ndarray, ...]:
+        elements = bag.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(bag).to_numpy())]).astype(np.int64)
+        return (elements, at, *block_keys(elements, at, *known.value, texts))
+
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bag = batch.column(1)
-            elements = bag.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(bag).to_numpy())]).astype(np.int64)
-            row, key, index = block_keys(elements, at, *known.value, texts)
-            prints = fingerprints(elements, at)
-            raw = np.ascontiguousarray(prints[row]).view(np.uint8)
+            elements, at, row, key, index = blocks(batch.column(1))
+            raw = np.ascontiguousarray(fingerprints(elements, at)[row]).view(np.uint8)
             packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(32), len(row), [None, pa.py_buffer(raw.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(key), pa.array(np.diff(at)[row].astype(np.int32)), pa.array(index), packed], names=["id", "key", "n", "index", "print"])
 
-    entered = reps.mapInArrow(enter, f"id {kind}, key long, n int, index boolean, print binary")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, n = np.unique(blocks(batch.column(1))[3], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts).combine_chunks()
-        del parts
-        column = table.column("print").cast(pa.binary(32)).combine_chunks()
+    entered = reps.mapInArrow(enter, f"id {kind}, key long, n int, index boolean, print binary")
+    # no block is above LARGE where even the most frequent word stands in fewer texts
+    if max(share.max(initial=0.0), 1 / rare) * texts > LARGE:
+        size = reps.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("size")).filter(F.col("size") > LARGE).checkpoint()
+        if not size.isEmpty():
+            # each row goes to all pairs of its cell with another one
+            cell = F.pmod(F.xxhash64("id"), F.col("cells"))
+            cut = entered.join(size.select("key", F.ceil(F.col("size") / BLOCK).alias("cells")), "key").withColumn("cell", cell)
+            cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1))).filter("cell <> other")
+            cut = cut.withColumn("key", F.xxhash64("key", F.least("cell", "other"), F.greatest("cell", "other"))).select(*entered.columns)
+            entered = entered.join(size.select("key"), "key", "left_anti").select(*entered.columns).unionByName(cut)
+
+    def searched(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        column = rows.column("print").cast(pa.binary(32)).combine_chunks()
         column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
         raw = np.frombuffer(column.buffers()[1], np.uint64)[column.offset * 4 : (column.offset + len(column)) * 4].reshape(-1, 4)
-        a, b = search_blocks(table.column("key").to_numpy(), raw, table.column("n").to_numpy(), table.column("index").to_numpy())
-        ids = table.column("id").to_numpy()
+        a, b = search_blocks(rows.column("key").to_numpy(), raw, rows.column("n").to_numpy(), rows.column("index").to_numpy())
+        ids = rows.column("id").to_numpy()
         a, b = ids[a], ids[b]
         pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
-    likely = entered.repartition("key").mapInArrow(search, f"a {kind}, b {kind}").distinct()
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        many = 0
+        for batch in batches:  # sorted by key; whole blocks are searched as they come
+            kept.append(batch)
+            many += batch.num_rows
+            if many < ROWS:
+                continue
+            table = pa.Table.from_batches(kept)
+            key = table.column("key").to_numpy()
+            end = int(np.searchsorted(key, key[-1]))
+            if end:
+                yield searched(table.slice(0, end))
+                kept, many = table.slice(end).to_batches(), many - end
+        if many:
+            yield searched(pa.Table.from_batches(kept))
+
+    likely = entered.repartition("key").sortWithinPartitions("key").mapInArrow(search, f"a {kind}, b {kind}").distinct()
     left = reps.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
     right = reps.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
     common = F.size(F.array_intersect("bag_a", "bag_b"))

@@ -109,7 +109,7 @@ def pack(items: DataFrame, mixture: dict[str, float] | None = None, capacity: in
     items = items.select("doc_id", "source", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens")).checkpoint()
     total, number = items.agg(F.sum("n_tokens"), F.count("*")).first()
     parts = max(1, -(-(total or 0) // part_tokens), -(-number // PART_ITEMS))
-    placed = items.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("long"))
+    placed = items.withColumn("part", F.pmod(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id())), F.lit(parts)).cast("long"))
     supply = placed.groupBy("part", "source").agg(F.sum("n_tokens").alias("tokens"))
     weight = F.col("own") / F.greatest(F.sum("own").over(Window.partitionBy("one")), F.lit(1))
     shares = supply.groupBy("source").agg(F.sum("tokens").alias("own")).withColumn("one", F.lit(1)).withColumn("share", weight)

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from riwaya.llm import codes as C
-from riwaya.llm.forms import consistent, consistent_form, lookalike_pairs
+from riwaya.llm.forms import consistent, consistent_form, lookalike_classes, lookalike_pairs
 
 
 def form(*texts):
@@ -64,3 +64,22 @@ def test_pairs(spark):
     got = {tuple(r) for r in lookalike_pairs(df, "id", ["a", "b"]).collect()}
     assert got == {("a", 1, 2), ("a", 2, 3), ("b", 1, 5), ("b", 2, 5)}
     assert lookalike_pairs(df.filter("id < 0"), "id", ["a"]).count() == 0
+
+
+def test_one_variant_in_a_group_of_very_many_copies(spark):
+    """The cost is that of the pairs there are, not of all pairs of the group."""
+    n = 100_000
+    df = spark.range(1, n + 1).selectExpr("id", "case when id = 7 then 'ﻛﺘﺎﺏ' else 'كتاب' end as a", "concat('x', id) as b")
+    got = lookalike_pairs(df, "id", ["a", "b"])
+    assert got.selectExpr("count(*)", "count(distinct unit_a, unit_b)", "sum(int(unit_a = 7 or unit_b = 7))").first()[:] == (n - 1, n - 1, n - 1)
+    assert [tuple(r) for r in lookalike_pairs(df, "id", ["a"], members=False).collect()] == [("a", 1, 7)]
+    assert lookalike_classes(df, "id", ["a", "b"]).groupBy("rep").count().orderBy("rep").collect() == [(1, n - 1), (7, 1)]
+
+
+def test_a_very_long_run_of_marks_takes_no_quadratic_time():
+    import time
+
+    text = "ب" + "\u064e\u0651" * 100_000 + "e\u0301"
+    began = time.time()
+    codes, at = consistent(*C.to_codes(pa.array([text, "e\u0301"])))
+    assert C.to_arrow(codes, at).to_pylist()[1] == "é" and time.time() - began < 20

@@ -84,3 +84,23 @@ def test_edges(spark):
     assert got == {(1, 2), (1, 6), (2, 6), (7, 8), (9, 10)}
     assert {tuple(r) for r in nearby.near_pairs(df, members=False).collect()} == set()
     assert nearby.near_pairs(df.filter("id < 0")).count() == 0
+
+
+@pytest.mark.parametrize(("large", "rows"), [(4, 7), (20, 1_000)])
+def test_large_blocks_are_searched_by_cells(spark, monkeypatch, large, rows):
+    monkeypatch.setattr(nearby, "LARGE", large)
+    monkeypatch.setattr(nearby, "BLOCK", 3)
+    monkeypatch.setattr(nearby, "DEPTH", 1)
+    monkeypatch.setattr(nearby, "ROWS", rows)
+    texts = texts_with_edits(11, 200, 30, 0.4)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text_ar string").repartition(5)
+    assert {tuple(r) for r in nearby.near_pairs(df).collect()} == brute(texts)
+
+
+def test_representatives_and_members_give_all_pairs(spark):
+    texts = texts_with_edits(12, 150, 100, 0.2) * 2
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text_ar string")
+    rep = {r.unit: r.rep for r in nearby.equal_bags(df).collect()}
+    near = {tuple(r) for r in nearby.near_pairs(df, members=False).collect()}
+    made = {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in near)}
+    assert made == {tuple(r) for r in nearby.near_pairs(df).collect()}
