@@ -54,3 +54,16 @@ def test_frames_hold_in_a_small_table(spark):
     assert {r.grade: r.ref_id for r in map_values(df, spark.createDataFrame(REFERENCE)).collect()} == want
     for v in ("إسناده حسن", "ضعيف الإسناد", "أفاد زيد: حسن صحيح"):
         assert map_values(spark.createDataFrame([(v,)], "grade string"), spark.createDataFrame(REFERENCE)).first().ref_id == want[v]
+
+
+def test_other_expressions_follow_from_the_roots_of_any_list(spark):
+    """Another list, whose words stand nowhere in the operator."""
+    reference = [Row(ref_id=1, grade_ar="مقبول", grade_latin="Maqbul", abbrev=None), Row(ref_id=2, grade_ar="سقيم", grade_latin="Saqim", abbrev="سق"), Row(ref_id=3, grade_ar="سقيم جدا", grade_latin=None, abbrev=None), Row(ref_id=4, grade_ar="مختلط", grade_latin="", abbrev=None), Row(ref_id=5, grade_ar="لا يقبل", grade_latin="La yuqbal", abbrev=None)]
+    want = {"مقبولا": 1, "فيه سقم": 2, "شديد السقم": 3, "وهو فيه اختلاط": 4, "غير مقبول": 5, "ليس بمقبول": 5, "لم يقبل": 5, "سقيمٌ جدًّا": 3, "قبله": 1, "كلام آخر": 0, "فيه كلام": 0}
+    df = spark.createDataFrame([(v,) for v in want], "grade string")
+    assert {r.grade: r.ref_id for r in map_values(df, spark.createDataFrame(reference, "ref_id int, grade_ar string, grade_latin string, abbrev string")).collect()} == want
+
+
+def test_a_list_that_is_too_long_to_broadcast_is_refused():
+    with pytest.raises(ValueError, match="too long"):
+        dictionary(Row(ref_id=k, grade_ar=f"{k:09d}" * 3, grade_latin="", abbrev=None) for k in range(20_000))
