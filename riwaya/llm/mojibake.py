@@ -1,19 +1,28 @@
 """Problem 9: texts decoded with a wrong character encoding.
 
 Method: an unknown swap of code pages is a substitution cipher. Words that can't
-be text of their surroundings are read as bytes of the page they were shown in
-(``SHOWN``); bytes that are UTF-8 give the original at once. For the others the
-letter of each byte is learnt by source: expectation-maximization over pairs of
-neighbouring bytes, against the letter bigrams of all sound Arabic text of the
-corpus, started from the code pages in ``WRITTEN``. What is learnt is one string
-for each source, shown page and start, applied with ``translate()``. Passages in
-other letters that no such pair explains are counted by source and script, too,
-and learnt as ciphers of characters from several starts (all pairs of an
-``ALL_SHOWN`` with a ``WRITTEN`` page, and letters by frequency).
-
-A document is found if a passage is UTF-8 shown otherwise, if its words become
-Arabic by the learnt letters, or if it holds replacement characters (there the
-original is lost: ``restored`` keeps them, and ``whole`` is false).
+be text of their surroundings are found by their characters; for the others the
+letter of each byte or character is learnt by source: expectation-maximization
+over pairs of neighbours, against the letter bigrams of all sound Arabic text of
+the corpus. What is learnt is a cipher for each source and start, applied with
+``translate()``; a document is found by a cipher that was learnt, never by a page
+as it is listed.
+
+Passages that a pair of listed pages explains (``SHOWN`` x ``WRITTEN``) only start
+there: their counts are kept apart by that pair, so that ciphers don't mix. All
+others are counted by source and script, and learnt from the likeliest pairs of an
+``ALL_SHOWN`` with a ``WRITTEN`` page and from no page at all: many random starts
+at once, of which the likeliest end wins (marks are letters of their own there).
+A cipher counts if the text reads as sound text does, less what its choice costs
+and what it leaves open where several characters stand for one letter.
+
+Bytes that are UTF-8 prove themselves: a letter is two of them there, so no cipher
+of single characters can give it, and what they say needs no learning. They are
+decoded at once, also where encoded twice, unless they came about by chance in
+text of another swap.
+
+A document is found, too, if it holds replacement characters (there the original
+is lost: ``restored`` keeps them, and ``whole`` is false).
 
 Text in Latin letters keeps most of its letters in any swap, so its ciphers need
 no learning: each word with other letters is read under the pairs of pages and
@@ -30,6 +39,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -62,6 +72,9 @@ SOUND = "àâäçèéêëîïñóôöùúûüßáíìòãõåøæœğİıŞşĞ
 OTHER = "other"
 LOST = "�"
 N = len(LETTERS)
+#: Letters and marks, each a letter of its own, for ciphers of which nothing is known.
+MARKED = LETTERS + MARKS
+K = len(MARKED)
 #: The number behind the last Latin letter stands for all other characters that aren't ASCII or Arabic.
 M = len(LATIN) + 1
 #: How much likelier (natural logarithm) a Latin word and all such words of a text must be under another page.
@@ -179,7 +192,6 @@ SUSPECT = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]")
 ASCII_LETTER = re.compile("[A-Za-z]")
 ARABIC = re.compile("[ء-ي]")
 #: Without two such characters in a row no word is shown in another script.
-LONG_WORD = re.compile(r"\S{2,}")
 HIGH_RUN = re.compile(r"[^\x00-\x7f؀-ۿ«»“”„‘’—–…]{2}")
 FOREIGN = re.compile("[ -ª¬-º¼-ÿŒœƒٹپچڈڑژکگںھہے†-•‰‹›€™ˆ]")
 
@@ -202,24 +214,52 @@ def passages(text: str, page: str) -> list[tuple[int, int]]:
             groups = [g for g in groups if g[1] > g[0]] or groups
             out = [(words[a].start(), words[b].end()) for a, b in groups]
         return out
-    for m in re.finditer(r"\S+", text):
-        w = m.group()
-        high = sum(c in table and ord(c) > 0xBF for c in w)
-        if high < 2 or ASCII_LETTER.search(w) or ARABIC.search(w):
-            continue
-        if out and not text[out[-1][1] : m.start()].strip():
+    return _joined(text, high_words(page))
+
+
+#: Within a word of other letters: neither white space nor letters of the surroundings.
+INSIDE = "[^\\sA-Za-zء-ي]"
+
+
+def _two_of(characters: str) -> re.Pattern:
+    """Words without letters of the surroundings that hold two of the characters (the inside of a class) at least."""
+    return re.compile(rf"(?<!\S){INSIDE}*?[{characters}]{INSIDE}*?[{characters}]{INSIDE}*(?!\S)")
+
+
+@functools.cache
+def high_words(page: str) -> re.Pattern:
+    return _two_of("".join(re.escape(c) for c in byte_tables()[page] if ord(c) > 0xBF))
+
+
+def _joined(text: str, words: re.Pattern) -> list[tuple[int, int]]:
+    """Ranges of the words a pattern finds; those with only white space between are one."""
+    out: list[tuple[int, int]] = []
+    for m in words.finditer(text):
+        if out and text[out[-1][1] : m.start()].isspace():
             out[-1] = (out[-1][0], m.end())
         else:
-            out.append((m.start(), m.end()))
+            out.append(m.span())
     return out
 
 
+class _Bytes(dict):
+    """Character -> byte as a character; all others are 0."""
+
+    def __missing__(self, key: int) -> str:
+        return "\0"
+
+
+@functools.cache
+def _shown(page: str) -> _Bytes:
+    return _Bytes({ord(c): chr(b) for c, b in byte_tables()[page].items()})
+
+
 def shown_bytes(piece: str, page: str) -> bytes:
     """Bytes of a passage; everything that isn't a byte of the page is a word boundary (0)."""
-    table = byte_tables()[page]
-    return bytes(table.get(c, 0) for c in piece)
+    return piece.translate(_shown(page)).encode("latin-1")
 
 
+@functools.lru_cache(100_000)
 def letter_numbers(cipher: str) -> np.ndarray:
     """By byte: the number of its letter, -1 for what is no letter, -2 for marks; 0 bounds words."""
     out = np.full(256, -1, np.int64)
@@ -244,46 +284,52 @@ def score(raw: bytes, cipher: str, model: np.ndarray) -> tuple[float, float, int
     return float(pair.mean()), letters / max(high, 1), letters
 
 
-def _numbers() -> tuple[np.ndarray, np.ndarray]:
-    """Letter numbers by code point for the Arabic and for the Latin model; -1 is passed over."""
-    arabic = np.zeros(0x110000, np.int16)
-    for k, c in enumerate(LETTERS):
-        arabic[ord(c)] = k
-    arabic[[ord(c) for c in MARKS]] = -1
+def _numbers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letter numbers by code point for the Arabic model (-1, a mark, is passed over), for that with marks, and for the Latin one."""
+    arabic, marked = np.zeros(0x110000, np.int16), np.zeros(0x110000, np.int16)
+    for k, c in enumerate(MARKED):
+        arabic[ord(c)], marked[ord(c)] = k if k < N else -1, k
     latin = np.full(0x110000, M - 1, np.int16)
     latin[:128] = latin[0x0600:0x0700] = 0
     for k, c in enumerate(LATIN):
         latin[ord(c)] = k
         if "a" <= c <= "z":
             latin[ord(c.upper())] = k
-    return arabic, latin
+    return arabic, marked, latin
+
 
+class Models(NamedTuple):
+    """Joint probabilities of neighbouring letters, word boundaries among them."""
 
-def bigram_models(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Joint probabilities of neighbouring letters (with word boundaries) over all texts: N x N for Arabic, M x M for Latin."""
+    arabic: np.ndarray
+    marked: np.ndarray
+    latin: np.ndarray
+
+
+def bigram_models(df: DataFrame, text: str) -> Models:
+    """The models of all texts: N x N for Arabic letters, K x K for letters and marks, M x M for Latin letters."""
+    ends = np.cumsum([0, N * N, K * K, M * M])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arabic, latin = _numbers()
-        total = np.zeros(N * N + M * M, np.int64)
+        tables = _numbers()
+        total = np.zeros(ends[-1], np.int64)
         for batch in batches:
             codes, _ = C.to_codes(batch.column(0))
-            num = arabic[codes]
-            num = num[num >= 0].astype(np.int32)
-            if len(num) > 1:
-                total[: N * N] += np.bincount(num[:-1] * N + num[1:], minlength=N * N)
-            num = latin[codes].astype(np.int32)
-            if len(num) > 1:
-                total[N * N :] += np.bincount(num[:-1] * M + num[1:], minlength=M * M)
-        total[0] = total[N * N] = 0
+            for table, size, at in zip(tables, (N, K, M), ends, strict=False):
+                num = table[codes].astype(np.int32)
+                num = num[num >= 0]
+                if len(num) > 1:
+                    total[at : at + size * size] += np.bincount(num[:-1] * size + num[1:], minlength=size * size)
+        total[ends[:-1]] = 0
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 
-    counts = np.full(N * N + M * M, 0.5)
-    for row in df.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # N * N + M * M rows at most
+    counts = np.full(ends[-1], 0.5)
+    for row in df.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # N * N + K * K + M * M rows at most
         counts[row.pair] += row.n
-    one, two = counts[: N * N], counts[N * N :]
-    two[-1] = 0.5  # other characters in a row are mostly garbled text of another script
-    return (one / one.sum()).reshape(N, N), (two / two.sum()).reshape(M, M)
+    parts = [counts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    parts[2][-1] = 0.5  # other characters in a row are mostly garbled text of another script
+    return Models(*[(x / x.sum()).reshape(n, n) for x, n in zip(parts, (N, K, M), strict=True)])
 
 
 LATIN_WORD = re.compile(r"\S*[^\x00-\x7f]\S*")
@@ -363,23 +409,65 @@ def learn(pairs: np.ndarray, start: str, model: np.ndarray, rounds: int = 15) ->
     return "".join(out), like / max(pairs.sum(), 1)
 
 
+#: Random starts of a cipher of which nothing is known, rounds for each, and further ones for the likeliest.
+TRIES, ROUNDS, MORE, KEPT = 20, 60, 120, 4
+
+
+def learn_freely(pairs: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """By symbol the number of its letter (0: none), learnt by expectation-maximization from no page at all.
+
+    ``pairs`` are counts as in :func:`learn`. All starts run at once; they favour
+    letters that are as frequent as the symbol. The likeliest end wins.
+    """
+    often, letters = pairs.sum(0) + pairs.sum(1), model.sum(0) + model.sum(1)
+    dead = often == 0
+    apart = np.abs(np.log(letters / letters.sum() + 1e-9)[:, None] - np.log(often / often.sum() + 1e-9)[None, :])
+    emit = np.exp(-2 * apart)[None] * np.random.default_rng(11).gamma(1.0, 1.0, (TRIES, len(model), len(pairs)))
+    emit[:, 0, 1:] *= 1e-3  # few symbols are boundaries besides those that show as such
+
+    def closed(x: np.ndarray) -> np.ndarray:
+        x[:, 1:, 0] = 0
+        x[:, :, dead] = 0
+        return x / np.maximum(x.sum(2, keepdims=True), 1e-300)
+
+    def seen(x: np.ndarray) -> np.ndarray:
+        return np.maximum(np.swapaxes(x, 1, 2) @ model @ x, 1e-300)
+
+    def run(x: np.ndarray, rounds: int) -> np.ndarray:
+        for _ in range(rounds):
+            ratio = pairs / seen(x)
+            x = closed(x * (model @ x @ np.swapaxes(ratio, 1, 2) + model.T @ x @ ratio) + 1e-6)
+        return x
+
+    likely = lambda x: (pairs * np.log(seen(x))).sum((1, 2))
+    emit = run(closed(emit), ROUNDS)
+    emit = run(emit[np.argsort(-likely(emit), kind="stable")[:KEPT]], MORE)
+    best = emit[int(likely(emit).argmax())]
+    return np.where(dead, 0, (model.sum(1)[:, None] * best).argmax(0))
+
+
 def _foreign(c: str) -> bool:
     """A character of a script that single-byte pages show, other than Arabic."""
     return "\xbf" < c < "\u2e80" and not "\u0600" <= c <= "\u06ff" and not "\u2000" <= c <= "\u20cf"
 
 
+#: Words of such characters, and words that may stand among them: with any character that is neither ASCII nor Arabic.
+OTHER_WORDS = _two_of("\u00c0-\u05ff\u0700-\u1fff\u20d0-\u2e7f")
+AMONG = re.compile(rf"(?<!\S){INSIDE}*?[\u0080-\u05ff\u0700-\u2e7f\uf8ff]{INSIDE}*(?!\S)")
+
+
 def other_passages(text: str) -> list[tuple[int, int]]:
     """Ranges of words in other letters than their surroundings, whatever page shows them."""
-    out: list[tuple[int, int]] = []
-    for m in LONG_WORD.finditer(text):
-        w = m.group()
-        if sum(map(_foreign, w)) < 2 or ASCII_LETTER.search(w) or ARABIC.search(w):
-            continue
-        if out and not text[out[-1][1] : m.start()].strip():
-            out[-1] = (out[-1][0], m.end())
-        else:
-            out.append((m.start(), m.end()))
-    return out
+    if not OTHER_WORDS.search(text):
+        return []
+    return [(a, b) for a, b in _joined(text, AMONG) if OTHER_WORDS.search(text, a, b)]
+
+
+def by_chance(text: str, decoded: str, got: int) -> bool:
+    """True if sequences of UTF-8 came about by chance: they explain little of the text in other letters, and most words that they changed still hold such letters."""
+    high = sum(c > "\x7f" for a, b in other_passages(text) for c in text[a:b])
+    new = set(decoded.split()) - set(text.split())
+    return 8 * got < high and 2 * sum(not ASCII_LETTER.search(w) and any(map(_foreign, w)) for w in new) > len(new)
 
 
 def script(piece: str) -> str:
@@ -406,13 +494,18 @@ def all_starts() -> tuple[dict[str, str], ...]:
 
 #: So many of the likeliest starts are followed.
 STARTS = 4
-#: As LEAST_SCORE, for ciphers of characters, less what the choice of the cipher itself costs by different pair of letters (foreign
-#: text that a cipher has fitted itself to stays below).
-LEAST_LEARNT = 0.25
+#: For ciphers of characters: mean log probability of a pair, relative to sound text, less what the choice of the cipher itself costs
+#: by different pair of letters (foreign text that a cipher has fitted itself to stays below).
+LEAST_LEARNT = -0.42
+#: A cipher whose choice costs more by pair isn't learnt: no text reads so well.
+MOST_COST = 1.5
 
 
-def learn_characters(pairs: dict[tuple[int, int], int], model: np.ndarray) -> list[tuple[dict[str, str], float]]:
-    """Ciphers (character -> letter) for counts of neighbouring characters (0 bounds words), learnt from several starts, and the starts; with their cost by letter."""
+def learn_characters(pairs: dict[tuple[int, int], int], model: np.ndarray, marked: np.ndarray) -> list[Learnt]:
+    """Ciphers for counts of neighbouring characters (0 bounds words), learnt from the likeliest pages and from none.
+
+    Each comes as character -> letter, its cost by pair, and the logarithm of each character's share of its letter.
+    """
     often: dict[int, int] = {}
     for (a, b), n in pairs.items():
         for c in (a, b):
@@ -432,31 +525,45 @@ def learn_characters(pairs: dict[tuple[int, int], int], model: np.ndarray) -> li
 
     starts = {"".join(t.get(chr(c), "\0") for c in chars).ljust(128, "\0") for t in all_starts()}
     best = sorted(starts, key=lambda x: (-value(x), x))[:STARTS]
-    ranked = [LETTERS[k] for k in np.argsort(-model.sum(1)[1:], kind="stable") + 1]
-    best.append("".join(ranked[: len(chars)]).ljust(128, "\0"))
-    out: list[tuple[dict[str, str], float]] = []
+    out: list[Learnt] = []
     size = max(len(pairs), 1)  # a phrase that comes again is no further evidence
+    free = len(chars) * np.log(N)
+    ciphers = []
     for start in best:
-        free = len(chars) * np.log(N)
-        for cipher, cost in ((start, np.log(len(starts)) if start in starts else free), (learn(table, start, model)[0], free)):
-            made = {chr(c): x for c, x in zip(chars, cipher, strict=False) if x != "\0"}
-            if all(made != x for x, _ in out):
-                out.append((made, float(cost / size)))
+        learnt = learn(table, start, model)[0]
+        moved = sum(a != b for a, b in zip(start, learnt, strict=True))
+        ciphers.append((learnt, min(np.log(len(starts)) + moved * np.log(128 * N), free)))  # what tells a start, and where it was left
+    if free / size <= MOST_COST:
+        ciphers.append(("".join(MARKED[k] if k else "\0" for k in learn_freely(table, marked)[1:]), free))
+    for cipher, cost in ciphers:
+        made = {chr(c): x for c, x in zip(chars, cipher, strict=False) if x != "\0"}
+        # a letter that several characters stand for doesn't tell which: what is left open counts against the cipher
+        whole: dict[str, int] = {}
+        for c, x in made.items():
+            whole[x] = whole.get(x, 0) + often[ord(c)]
+        told = {c: float(np.log(often[ord(c)] / whole[x])) for c, x in made.items()}
+        if all(made != x[0] for x in out):
+            out.append((made, float(cost / size), told))
     return out
 
 
-def best_characters(pieces: list[str], ciphers: list[tuple[dict[str, str], float]], model: np.ndarray, base: float) -> dict[str, str] | None:
+Learnt = tuple[dict[str, str], float, dict[str, float]]
+
+
+def best_characters(pieces: list[str], ciphers: list[Learnt], model: np.ndarray, usual: float) -> dict[str, str] | None:
     """The cipher under which the passages are most Arabic, if one makes them so."""
     best, most = None, -np.inf
-    for cipher, cost in ciphers:
-        made = " ".join("".join(cipher.get(c, c) for c in w) for piece in pieces for w in piece.split())
+    for cipher, cost, told in ciphers:
+        words = [w for piece in pieces for w in piece.split()]
+        made = " ".join("".join(cipher.get(c, c) for c in w) for w in words)
         num = np.array([0, *(LETTERS.find(c) if c in LETTERS else 0 if c < "\x80" or c in ARABIC_PUNCTUATION else -1 for c in made if c not in MARKS), 0])
         letters, high = int((num > 0).sum()), int((num != 0).sum())
         if letters < LEAST_LETTERS or letters < LEAST_SHARE * high:
             continue
         num = np.maximum(num, 0)
-        value = float(np.log(model[num[:-1], num[1:]])[(num[:-1] > 0) | (num[1:] > 0)].mean()) - cost
-        if value - base >= LEAST_LEARNT and value > most:
+        logs = np.log(model[num[:-1], num[1:]])[(num[:-1] > 0) | (num[1:] > 0)]
+        value = float(logs.mean()) + sum(told.get(c, 0.0) for w in words for c in w) / len(logs) - cost
+        if value - usual >= LEAST_LEARNT and value > most:
             best, most = cipher, value
     return best
 
@@ -487,11 +594,14 @@ def widened(text: str, spans: list[tuple[int, int]], cipher: str, model: np.ndar
     return out
 
 
-def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, str], str]) -> tuple[str, str, float, int] | None:
-    """The page and start under which the document's passages are most Arabic, with the score and the number of letters."""
+def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, str], str] | None = None) -> tuple[str, str, float, int] | None:
+    """The page and start under which the document's passages are most Arabic, with the score and the number of letters.
+
+    With ``ciphers`` only these count, without them the starts as they are.
+    """
     best = None
     other, mixed = HIGH_RUN.search(text), FOREIGN.search(text) and ARABIC.search(text)
-    for page in SHOWN:
+    for page in SHOWN if ciphers is None else sorted({p for p, _ in ciphers}):
         if not (mixed if page == "cp1256" else other):
             continue
         spans = passages(text, page)
@@ -501,9 +611,9 @@ def _best(text: str, model: np.ndarray, base: float, ciphers: dict[tuple[str, st
         words = [len(text[a:b].split()) for a, b in spans]
         alone = max(words) == 1 if page == "cp1256" else sum(words) == 1
         for start in WRITTEN:
-            if page == start:
+            if page == start or (ciphers is not None and (page, start) not in ciphers):
                 continue
-            value, share, letters = score(raw, ciphers.get((page, start), written_tables()[start]), model)
+            value, share, letters = score(raw, (ciphers or {}).get((page, start), written_tables()[start]), model)
             if share < LEAST_SHARE or letters < LEAST_LETTERS or value - base < (ALONE_SCORE if alone else LEAST_SCORE):
                 continue
             if alone and (share < 1 or (page in WRITTEN and value - score(raw, written_tables()[page], model)[0] < ALONE_GAIN)):
@@ -521,9 +631,12 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     ``found``: it holds a passage decoded wrongly; ``whole``: nothing of it is
     lost; ``restored``: the text with the passages restored.
     """
-    model, latin_model = bigram_models(df, text)
+    models = bigram_models(df, text)
+    model, latin_model = models.arabic, models.latin
     known = model.sum(1)
     base = float((model * np.log(model))[1:, 1:].sum() / model[1:, 1:].sum()) if known.sum() else -9.0
+    inside = np.where(np.arange(N * N) > 0, model.ravel(), 0.0)  # pairs of sound text, but for two boundaries
+    usual = float((inside * np.log(model.ravel())).sum() / inside.sum())
     rows = df.select(F.col(id_column).alias("id"), F.coalesce(F.col(source), F.lit("\0")).alias("source"), F.col(text).alias("text")).filter("text is not null")
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,11 +647,13 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                 if not SUSPECT.search(t):
                     continue
                 plain, got = from_utf8(t)
-                best = _best(t, model, base, {})
+                best = _best(t, model, base)
                 if best and best[3] > 2 * got:
                     plain, got = t, 0  # sequences of UTF-8 came about by chance
+                elif got and by_chance(t, plain, got):
+                    plain, got = t, 0
                 elif got:
-                    best = _best(plain, model, base, {})
+                    best = _best(plain, model, base)
                 lost = LOST in t
                 if not best and (read := latin.restore(plain)):
                     plain, got = read, got + 1
@@ -587,7 +702,7 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         if group.page.iloc[0] == OTHER:
-            made = learn_characters({(k >> 21, k & 0x1FFFFF): n for k, n in zip(group.pair.tolist(), group.n.tolist(), strict=True)}, model)
+            made = learn_characters({(k >> 21, k & 0x1FFFFF): n for k, n in zip(group.pair.tolist(), group.n.tolist(), strict=True)}, model, models.marked)
             return pd.DataFrame({"source": [group.source.iloc[0]], "page": [OTHER], "start": [group.start.iloc[0]], "cipher": [json.dumps(made)]})
         table = np.zeros(129 * 129)
         table[group.pair.to_numpy()] = group.n.to_numpy()
@@ -600,7 +715,7 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     joined = found.join(ciphers, ["source", "page", "start"], "left").select("id", "source", "text", "got", "lost", "page", "start", "cipher")
 
     def restore(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: dict[str, list[tuple[dict[str, str], float]]] = {}
+        read: dict[str, list[Learnt]] = {}
         for batch in batches:
             out: list[tuple] = []
             for i, s, t, got, lost, page, start, cipher in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
@@ -609,7 +724,7 @@ def repair(df: DataFrame, id_column: str = "doc_id", text: str = "text", source:
                     spans = other_passages(t)
                     if cipher not in read:
                         read[cipher] = json.loads(cipher)
-                    best = best_characters([t[a:b] for a, b in spans], read[cipher], model, base)
+                    best = best_characters([t[a:b] for a, b in spans], read[cipher], model, usual)
                     fits = best is not None
                     if fits:
                         table = str.maketrans(best)

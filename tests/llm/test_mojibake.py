@@ -126,3 +126,39 @@ def test_one_garbled_word(spark):
 
 def test_empty(spark):
     assert m.repair(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+@pytest.mark.parametrize("shown", ["cp1252", "cp1251"])
+def test_an_invented_swap_of_all_upper_bytes_is_learnt_from_no_page(spark, shown):
+    """A permutation of the 128 upper bytes that is no page at all: nothing but the bigrams can tell its letters."""
+    import random
+
+    rnd = random.Random(3)
+    order = list(range(128, 256))
+    rnd.shuffle(order)
+    show = lambda b: bytes([b]).decode(shown) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x98, 0x9D) else chr(b)
+    own = " ".join(CLEAN).split()
+    words = sorted({a[:2] + b[2:] for a in own for b in own if len(a) > 2 < len(b)})
+    texts = [" ".join(rnd.choice(words) for _ in range(40)) for _ in range(80)]
+    swapped = ["".join(show(order[b - 128]) if b > 127 else chr(b) for b in t.encode("cp1256")) for t in texts[:40]]
+    rows = [(k, t, "clean") for k, t in enumerate(texts)] + [(1000 + k, t, "odd") for k, t in enumerate(swapped)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    model = m.bigram_models(df, "text").arabic
+    base = float((model * np.log(model))[1:, 1:].sum() / model[1:, 1:].sum())
+    assert not any(m._best(t, model, base) for t in swapped), "no listed page explains them"
+    got = {r.id: r for r in m.repair(df).collect() if r.found}
+    assert set(got) == {1000 + k for k in range(40)}
+    assert np.mean([a == b for k in range(40) for a, b in zip(got[1000 + k].restored, texts[k], strict=True)]) > 0.9
+
+
+def test_letters_are_learnt_from_random_starts():
+    text = " ".join(CLEAN * 30)
+    num = np.array([max(m.MARKED.find(c), 0) for c in text])
+    model = np.full((m.K, m.K), 0.5)
+    np.add.at(model, (num[:-1], num[1:]), 1)
+    order = np.random.default_rng(5).permutation(m.K - 1) + 1
+    symbol = np.where(num > 0, order[num - 1], 0)
+    pairs = np.bincount(symbol[:-1] * 129 + symbol[1:], minlength=129 * 129).reshape(129, 129).astype(float)
+    pairs[0, 0] = 0
+    letter = m.learn_freely(pairs, model / model.sum())
+    assert np.mean(letter[symbol[num > 0]] == num[num > 0]) > 0.8
