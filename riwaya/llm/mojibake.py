@@ -5,8 +5,8 @@ be text of their surroundings are found by their characters; for the others the
 letter of each byte or character is learnt by source: expectation-maximization
 over pairs of neighbours, against the letter bigrams of all sound Arabic text of
 the corpus. What is learnt is a cipher for each source and start, applied with
-``translate()``; a document is found by a cipher that was learnt, never by a page
-as it is listed.
+``translate()``; of these, a document is found by a cipher that was learnt, never
+by a page as it is listed.
 
 Passages that a pair of listed pages explains (``SHOWN`` x ``WRITTEN``) only start
 there: their counts are kept apart by that pair, so that ciphers don't mix. All

@@ -174,15 +174,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _PLAIN = sql_normalize("translate(regexp_replace(text_ar, '[\u00AD\u061C\u2060-\u206F]', '', 'g'), 'ھ', 'ه')")
 _CLEAN = "regexp_replace(lower({}), '[\\p{{P}}\\p{{Z}}\\s$+<=>^`|~]+', ' ', 'g')"
 
+#: The rows of the same ruling in SQL: f (id, keep_id, copies).
+_SAME_RULING = f"""WITH g AS (SELECT id, unit_id, book, list_sort(list_filter(string_split({_CLEAN.format("muhaddith")}, ' '), lambda x: x <> '')) AS m, {_CLEAN.format("page")} AS p, replace({_CLEAN.format("grade")}, ' ', '') AS r FROM grading),
+k AS (SELECT id, unit_id, book, m, r, CASE WHEN regexp_matches(p, '\\p{{L}}') THEN list_sort(list_transform(regexp_extract_all(p, '\\p{{L}}+ *\\p{{N}}*'), lambda x: replace(x, ' ', ''))) ELSE regexp_extract_all(p, '\\p{{N}}+') END AS p FROM g),
+f AS (SELECT id, min(id) OVER w AS keep_id, count(*) OVER w AS copies FROM k WINDOW w AS (PARTITION BY unit_id, book, m, p, r))"""
+
 SQL: dict[str, str] = {
     "p4_found": f"""WITH d AS (SELECT id, string_split({_PLAIN}, ' ') AS w FROM unit WHERE kind = 'hadith'),
 e AS (SELECT id, x, row_number() OVER (PARTITION BY id, x) AS n FROM (SELECT id, unnest(w) AS x FROM d) WHERE x <> ''), s AS (SELECT id, count(*) AS k FROM e GROUP BY 1),
 c AS (SELECT a.id AS unit_a, b.id AS unit_b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.n = b.n AND a.id < b.id GROUP BY 1, 2)
 SELECT unit_a, unit_b FROM c JOIN s x ON x.id = unit_a JOIN s y ON y.id = unit_b WHERE common * 10 >= (x.k + y.k - common) * 7""",
-    "p5_found": f"""WITH g AS (SELECT id, unit_id, book, list_sort(list_filter(string_split({_CLEAN.format("muhaddith")}, ' '), lambda x: x <> '')) AS m, {_CLEAN.format("page")} AS p, replace({_CLEAN.format("grade")}, ' ', '') AS r FROM grading),
-k AS (SELECT id, unit_id, book, m, r, CASE WHEN regexp_matches(p, '\\p{{L}}') THEN list_sort(list_transform(regexp_extract_all(p, '\\p{{L}}+ *\\p{{N}}*'), lambda x: replace(x, ' ', ''))) ELSE regexp_extract_all(p, '\\p{{N}}+') END AS p FROM g),
-f AS (SELECT id, min(id) OVER (PARTITION BY unit_id, book, m, p, r) AS keep_id FROM k)
+    "p5_found": f"""{_SAME_RULING}
 SELECT keep_id, id AS copy_id FROM f WHERE id <> keep_id""",
+    "p5_rulings": f"""{_SAME_RULING}
+SELECT g.id, g.unit_id, g.book, g.muhaddith, g.page, g.grade, copies FROM f JOIN grading g USING (id) WHERE g.id = keep_id""",
     "p6_found": """WITH r AS (SELECT 'unit' AS rec, id AS rec_id, text_ar AS t FROM unit UNION ALL SELECT 'link', id, evidence_ar FROM link),
 w AS (SELECT rec, rec_id, substr(t, i, 60) AS s FROM r, range(1, length(t) - 58) q(i)), g AS (SELECT s FROM w GROUP BY s HAVING count(DISTINCT (rec, rec_id)) > 1)
 SELECT DISTINCT rec, rec_id FROM w SEMI JOIN g USING (s)""",
