@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from riwaya.functions import text as X
 from riwaya.functions.normalize import tokens_of
-from riwaya.session import ensure_checkpoint_dir
+from riwaya.session import ensure_checkpoint_dir, kept
 from riwaya.sources.readers import EDITION_NAMES, lookup
 
 MIN_WORDS = 5
+#: Titles that are sent to all tasks at most.
+TITLES = 1_000_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -87,15 +89,15 @@ def other_places(quotes: DataFrame, items: DataFrame) -> DataFrame:
     return found.groupBy("item", "quoted").agg(also.alias("also"))
 
 
-def find_by_name(titles: DataFrame, docs: DataFrame) -> DataFrame:
-    """(item, doc, named, attested, title_source): the first title, in list order, that stands in the document.
+def named_docs(titles: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, needles): the needles of titles that stand in each document; further columns of ``docs`` stay.
 
-    ``titles`` is (item, place, name, needle, attested, title_source). A title
-    stands anywhere, also within words: its first word ends a word of the
+    A title stands anywhere, also within words: its first word ends a word of the
     document, its last word begins one, those between are whole words, and a
     single word is any part of one. So these parts of the *vocabulary* are joined
     with the titles' words by equality; each title takes its rarest word to the
-    documents, where the whole title is looked for.
+    documents, where the whole title is looked for. One row for each document:
+    pairs with the items of a title, which may be very many, aren't made here.
     """
     titles = titles.filter("needle <> ''")
     words = F.split("needle", " ")
@@ -114,17 +116,65 @@ def find_by_name(titles: DataFrame, docs: DataFrame) -> DataFrame:
     keyed = vocabulary.select("word", "df", F.explode(F.concat(cut("part", all_parts), cut("end", ends), cut("begin", begins), cut("whole", F.array("word")))).alias("x")).select("word", "df", "x.*")
     matched = slots.join(keyed, ["way", "part"]).select("needle", "slot", "word", "df")
     rarest = matched.groupBy("needle", "slot").agg(F.sum("df").alias("docs")).groupBy("needle").agg(F.min_by("slot", F.struct("docs", "slot")).alias("slot"))
-    pairs = matched.join(rarest, ["needle", "slot"]).select("needle", "word").join(inside, "word").select("needle", "doc").distinct()
-    hits = pairs.join(docs, "doc").filter(F.contains("doc_text", "needle")).select("needle", "doc").join(titles, "needle")
-    first = F.min(F.struct("place", "name", "attested", "title_source")).alias("x")
-    return hits.groupBy("item", "doc").agg(first).select("item", "doc", F.col("x.name").alias("named"), "x.attested", "x.title_source")
+    able = matched.join(rarest, ["needle", "slot"]).select("needle", "word").join(inside, "word").groupBy("doc").agg(F.collect_set("needle").alias("needles"))
+    hits = able.join(docs, "doc").withColumn("needles", F.filter("needles", lambda x: F.contains(F.col("doc_text"), x))).filter(F.size("needles") > 0)
+    return hits.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("needles"))).alias("needles"), *[F.any_value(c).alias(c) for c in docs.columns if c not in ("doc", "doc_text")])
+
+
+def naming_pairs(named: DataFrame, titles: DataFrame) -> DataFrame:
+    """Each of :func:`named_docs` with each item that has a title there, and the first such title, in list order, with its evidence.
+
+    That a title is the first one is seen from the needles of its document, so
+    pairs are neither sorted nor exchanged. Up to ``TITLES`` titles are sent to
+    the documents; more are joined by needle.
+    """
+    own = titles.filter("needle <> ''").groupBy("item", "needle").agg(F.min(F.struct("place", "name", "attested", "title_source")).alias("x"))
+    listed = own.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("x.*", "needle"))).alias("all"))
+    at = listed.select("item", "all", F.posexplode("all").alias("k", "t"))
+    evidence = X.naming_evidence(F.col("t.name"), F.col("t.attested"), F.col("t.title_source"))
+    first = at.select("item", "t.needle", F.col("t.name").alias("named"), "t.attested", "t.title_source", evidence.alias("evidence_ar"), F.transform(F.slice("all", 1, F.col("k")), lambda t: t["needle"]).alias("before"))
+    first = F.broadcast(first) if titles.count() <= TITLES else first
+    pairs = named.withColumn("needle", F.explode("needles")).join(first, "needle")
+    return pairs.filter(~F.arrays_overlap("before", "needles")).drop("needle", "needles", "before")
+
+
+def find_by_name(titles: DataFrame, docs: DataFrame) -> DataFrame:
+    """(item, doc, named, attested, title_source): the first title, in list order, that stands in the document.
 
+    ``titles`` is (item, place, name, needle, attested, title_source).
+    """
+    return naming_pairs(named_docs(titles, docs), titles).select("item", "doc", "named", "attested", "title_source")
+
+
+def find_links(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int = MIN_WORDS, places: DataFrame | None = None, folders: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """What links rest on: quotations with ``also`` (other places of the phrase), and :func:`named_docs` with ``quoted`` (items that the document quotes).
+
+    Further columns of ``docs`` stay in both. Quotations are found once; where
+    ``folders`` is given, all is kept, see :func:`riwaya.session.kept`.
+    """
+    spark = items.sparkSession
+    ensure_checkpoint_dir(spark)
+    text = docs.select("doc", "doc_text")
+    quotes = find_quotations(items.select("item", "item_text"), text, least).checkpoint()
+    also = other_places(quotes, items if places is None else places)
+    marked = quotes.join(also, ["item", "quoted"], "left").withColumn("also", F.coalesce("also", F.array().cast("array<string>")))
+    if docs.columns != text.columns:
+        marked = marked.join(docs.drop("doc_text"), "doc")
+    quoted = quotes.groupBy("doc").agg(F.collect_set("item").alias("quoted"))
+    named = named_docs(titles, docs).join(quoted, "doc", "left").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return (marked, named) if folders is None else (kept(marked, "quotes", folders), kept(named, "named", folders))
+
+
+def naming_only(named: DataFrame, titles: DataFrame) -> DataFrame:
+    """:func:`naming_pairs` without those whose document quotes the item."""
+    return naming_pairs(named, titles).filter(F.col("quoted").isNull() | ~F.array_contains("quoted", F.col("item"))).drop("quoted")
 
-def merge_links(quotes: DataFrame, names: DataFrame) -> DataFrame:
-    """Quotations, and namings where the document isn't quoted already."""
-    q = quotes.select("item", "doc", F.lit("quotation").alias("method"), F.col("quoted").alias("phrase"), F.col("also").alias("shared_with"), X.quotation_evidence(F.col("quoted"), F.col("quoted_words"), F.col("also")).alias("evidence_ar"))
-    n = names.join(quotes.select("item", "doc"), ["item", "doc"], "left_anti")
-    n = n.select("item", "doc", F.lit("naming").alias("method"), F.col("named").alias("phrase"), F.array().cast("array<string>").alias("shared_with"), X.naming_evidence(F.col("named"), F.col("attested"), F.col("title_source")).alias("evidence_ar"))
+
+def merge_links(quotes: DataFrame, named: DataFrame, titles: DataFrame) -> DataFrame:
+    """The links that :func:`find_links` found: quotations, and namings where the document isn't quoted already."""
+    more = [c for c in named.columns if c not in ("doc", "needles", "quoted")]
+    q = quotes.select("item", "doc", F.lit("quotation").alias("method"), F.col("quoted").alias("phrase"), F.col("also").alias("shared_with"), X.quotation_evidence(F.col("quoted"), F.col("quoted_words"), F.col("also")).alias("evidence_ar"), *more)
+    n = naming_only(named, titles).select("item", "doc", F.lit("naming").alias("method"), F.col("named").alias("phrase"), F.array().cast("array<string>").alias("shared_with"), "evidence_ar", *more)
     return q.unionByName(n).withColumn("ambiguous", F.size("shared_with") > 0)
 
 
@@ -134,11 +184,7 @@ def link_all(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int =
     A phrase is ambiguous if others of ``places`` hold it, which are the items
     where nothing else is given. Quotations are found once and kept.
     """
-    ensure_checkpoint_dir(items.sparkSession)
-    quotes = find_quotations(items.select("item", "item_text"), docs, least).checkpoint()
-    also = other_places(quotes, items if places is None else places)
-    quotes = quotes.join(also, ["item", "quoted"], "left").withColumn("also", F.coalesce("also", F.array().cast("array<string>")))
-    return merge_links(quotes, find_by_name(titles, docs))
+    return merge_links(*find_links(items, docs.select("doc", "doc_text"), titles, least, places), titles)
 
 
 def shared_key_links(verses: DataFrame, commentaries: DataFrame, editions: list[str] | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ def upsert_sources(rows: DataFrame, order: list[str]) -> DataFrame:
     return rows.groupBy("key").agg(F.min("id").alias("id"), newest.alias("x")).select("id", "key", "x.*")
 
 
+#: How versions are written: texts and ids repeat in links, so their dictionaries may be large.
+WRITTEN = {"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}
 UPDATED = ("text_ar", "text_norm", "locus_ar", "url")
 
 
@@ -134,7 +136,7 @@ def publish_version(df: DataFrame, path: str, keep: int = 2, partition_by: list[
     """
     files, make = _files(df.sparkSession, path)
     n = max(_versions(files, make, path), default=0) + 1
-    writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").options(**WRITTEN)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}/version={n}")
     for k in _versions(files, make, path)[:-keep]:
         files.delete(make(f"{path}/version={k}"), True)

@@ -33,7 +33,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 def _land(rows: DataFrame, name: str, *parts: str) -> str:
     """Write ``rows`` (parts..., body): one file for each document, in folders by its parts."""
     at = shared_folder(rows.sparkSession, name)
-    rows.repartition(*parts).write.partitionBy(*parts).text(at)
+    rows.repartition(*parts).write.partitionBy(*parts).option("compression", "gzip").text(at)
     return at
 
 
@@ -130,11 +130,11 @@ def ingested(spark: SparkSession, at: str) -> DataFrame:
     t = Tables(spark, at)
     titles = _named_verses(t).select("ref_key", "place", F.struct("name", F.lit("").alias("attested_ar"), F.lit("").alias("source_ar")).alias("item"))
     commentaries = shared_folder(spark, "commentaries")
-    t.kind("tafsir").select("edition", "surah", "ayah", F.col("text_ar").alias("text"), "url").write.json(commentaries)
+    t.kind("tafsir").select("edition", "surah", "ayah", F.col("text_ar").alias("text"), "url").write.option("compression", "gzip").json(commentaries)
     ruling = F.struct(F.col("muhaddith").alias("mohdith"), "book", F.col("page").alias("numberOrPage"), "grade", F.col("explanation").alias("explainGrade"), "rawi")
     answers = t.grading.join(t.kind("hadith").select(F.col("id").alias("unit_id"), "ref_key"), "unit_id")
     rulings = shared_folder(spark, "rulings")
-    answers.select("ref_key", "url", F.to_json(F.struct(F.struct(F.array(ruling).alias("result")).alias("ahadith"))).alias("body")).write.json(rulings)
+    answers.select("ref_key", "url", F.to_json(F.struct(F.struct(F.array(ruling).alias("result")).alias("ahadith"))).alias("body")).write.option("compression", "gzip").json(rulings)
     landed = ingest.Landed(_land_quran(_verses(t)), _land_books(_narrations(t)), _land_map(titles, "titles", "titles"), _land_manual(t), commentaries, rulings, ["x: no route"], SLUG)
     return ingest.ingest(spark, landed, shared_folder(spark, "store"))["report"]
 

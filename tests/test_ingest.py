@@ -46,6 +46,24 @@ def test_a_run_from_files_to_tables(spark, landed, tmp_path):
     assert counts == {name: again[name].count() for name in counts} and ids == {r.id for r in again["unit"].collect()}, "a second run changes nothing"
 
 
+def test_disk_does_not_grow_with_links(spark, tmp_path):
+    from pathlib import Path
+
+    quran = write(tmp_path / "q.json", {"quran": [{"chapter": 1, "verse": a, "text": f"نص {a}"} for a in range(60)]})
+    write(tmp_path / "books" / "muslim.json", {"hadiths": [{"idInBook": k, "arabic": f"في آية السوق رقم {k} وآية الدين"} for k in range(300)]})
+    titles = write(tmp_path / "t.json", {"titles": {f"1:{a}": [{"name": "آية الدين", "attested_ar": "كذا" * 40, "source_ar": "كتاب"}, {"name": "آية السوق", "attested_ar": "", "source_ar": ""}] for a in range(60)}})
+    manual = write(tmp_path / "m.json", {"1:5": [{"ref": "muslim:7", "evidence_ar": "سبب"}]})
+    at = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    size = lambda: sum(p.stat().st_size for p in at.rglob("*") if p.is_file())
+    before = size()
+    made = ingest.build(spark, ingest.Landed(quran, str(tmp_path / "books"), titles, manual))
+    assert size() - before < 500_000, "18,000 links aren't stored on the way"
+    links = made["link"].cache()
+    assert links.count() == links.select("id").distinct().count() == 60 * 300 + 1
+    assert links.filter("method = 'naming' and evidence_ar like '%آية الدين%'").count() == 60 * 300, "the first title of the list"
+    assert {(r.ref_key, r.links, r.hadiths) for r in made["report"].collect()} == {(f"1:{a}", 300 + (a == 5), 300) for a in range(60)}, "a pair linked by hand, too, is one narration"
+
+
 def _links(spark, out):
     unit, link = store.read_published(spark, f"{out}/unit"), store.read_published(spark, f"{out}/link")
     names = unit.select("id", "ref_key")
