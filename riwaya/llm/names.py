@@ -26,7 +26,8 @@ entities that are known by then.
 
 Blocks never span two distinguishing names, so names of one N are resolved where
 they lie, one N at a time. An N with more than ``LARGE`` different profiles isn't
-brought into one task; it is resolved by the same rounds as grouped aggregates.
+brought into one task; it is resolved by the same rounds as grouped aggregates,
+joining by number of rows included, and with the same result.
 Work is on distinct profiles, so a hot name costs one row.
 
 Defined cases: nulls are left out; values without any letter match only values
@@ -73,6 +74,8 @@ FEW, OFTENER = 5, 3
 LARGE = 50_000
 #: Least probability at which a spelling joins a person by its number of rows.
 SURE = 0.6
+#: Digits of such a probability that count; the order in which numbers are added up changes later ones.
+DIGITS = 9
 
 
 def near(a: str, b: str) -> bool:
@@ -431,8 +434,9 @@ def attach(people: list[Profile], mean: float, deviation: float) -> None:
             if able:
                 z = (math.log(bare[b]) - size[able] - mean) / deviation
                 w = np.exp(-0.5 * (z * z - (z * z).min()))
-                if w.max() >= SURE * w.sum():
-                    found.append((float(w.max() / w.sum()), b, persons[able[int(w.argmax())]]))
+                sure = round(float(w.max() / w.sum()), DIGITS)
+                if sure >= SURE:
+                    found.append((sure, b, persons[able[int(w.argmax())]]))
         to: dict[int, int] = {}
         for _, b, x in sorted(found, key=lambda f: (-f[0], f[1])):
             if x not in to.values():  # one at a time for each person, whose facts then grow
@@ -534,14 +538,17 @@ def resolve(values: DataFrame, context: DataFrame | None = None, titles: tuple[s
     base = base.checkpoint()
     heavy = base.groupBy("field", "N").agg(F.count("*").alias("m")).filter(F.col("m") > large).select("field", "N")
     merged = _by_block(base.join(heavy, ["field", "N"], "left_anti"), "met", _merged).checkpoint()
+    many = None if heavy.isEmpty() else _merged_by_rounds(base.join(heavy, ["field", "N"], "left_semi"))
     # what rows of mere kunyas and by-names are to rows of full names, in logarithms
-    both = merged.groupBy("label").agg(F.sum("whole").alias("whole"), F.sum("bare").alias("bare")).filter("whole > 0 and bare > 0")
+    counts = merged.select("label", "whole", "bare")
+    counts = counts if many is None else counts.unionByName(many.select("label", _whole_rows().alias("whole"), _bare_rows().alias("bare")))
+    both = counts.groupBy("label").agg(F.sum("whole").alias("whole"), F.sum("bare").alias("bare")).filter("whole > 0 and bare > 0")
     size, mean, deviation = both.agg(F.count("*"), F.avg(F.log(F.col("bare") / F.col("whole"))), F.stddev(F.log(F.col("bare") / F.col("whole")))).first()
     ends = merged.select("node", "label")
     if size > 10 and deviation:
         ends = _by_block(base.join(ends, "node"), "label", _attached(mean, deviation)).select("node", "label")
-    if not heavy.isEmpty():
-        ends = ends.unionByName(_merged_by_rounds(base.join(heavy, ["field", "N"], "left_semi")))
+        many = many if many is None else _attached_by_rounds(many, mean, deviation)
+    ends = ends if many is None else ends.unionByName(many.select("node", "label"))
     named = read.join(nodes.select("field", "same", "node"), ["field", "same"], "left").join(ends, "node", "left")
     # a spelling without a distinguishing name goes with those that differ in formatting only
     return named.select("field", "name", F.coalesce("label", F.xxhash64("field", "same")).alias("entity"))
@@ -587,7 +594,7 @@ def _one(name: str) -> Column:
 
 
 def _merged_by_rounds(nodes: DataFrame) -> DataFrame:
-    """(node, label) of profiles; a label moves down only, so the rounds come to an end."""
+    """``nodes`` with their label, as :func:`merge`; a label moves down only, so the rounds come to an end."""
     base = nodes.withColumns({f"c{k.lower()}0": _single(k) for k in FACTS} | {f"i{k.lower()}0": F.substring(F.col(k)[0], 1, 1) for k in "GF"})
     doubt = F.greatest(*[F.coalesce(F.size(k), F.lit(0)) for k in "GFK"]) > 1
     base = base.withColumn("doubt", doubt).withColumn("label", F.col("node")).checkpoint()
@@ -597,7 +604,7 @@ def _merged_by_rounds(nodes: DataFrame) -> DataFrame:
             base = state.drop("before")
             if state.filter("label <> before").isEmpty():
                 break
-    return base.select("node", "label")
+    return base
 
 
 def _round(base: DataFrame, final: bool) -> DataFrame:
@@ -628,10 +635,48 @@ def _round(base: DataFrame, final: bool) -> DataFrame:
     finest = F.coalesce(*[F.when(F.col(f"low{k}").isNotNull(), F.struct(F.col(f"low{k}").alias("to"), F.col(f"high{k}").alias("high"))) for k in range(1, 5)])
     found = found.select("node", F.col("low0").alias("firm"), finest.alias("x"))
     joined = base.join(found, "node", "left").withColumn("before", F.col("label"))
-    joined = joined.withColumn("label", F.least("label", F.coalesce("firm", "label"), F.coalesce(F.when(F.col("x.to") == F.col("x.high"), F.col("x.to")), F.col("label")))).drop("firm", "x")
-    # a label that was itself moved to another one takes its members along
-    moved = joined.filter("label <> before").groupBy(F.col("before").alias("old")).agg(F.min("label").alias("new"))
-    return joined.join(moved, F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("new", "label")).drop("old", "new")
+    end = F.least("before", "firm", F.when(F.col("x.to") == F.col("x.high"), F.col("x.to")))
+    # all members of a label go where the least of their ends is
+    moved = joined.filter(end < F.col("before")).groupBy(F.col("before").alias("old")).agg(F.min(end).alias("new"))
+    return joined.join(moved, F.col("before") == F.col("old"), "left").withColumn("label", F.coalesce("new", "before")).drop("firm", "x", "old", "new")
+
+
+def _whole_rows() -> Column:
+    """The rows of a full name and nothing else, as :func:`is_whole`; else 0."""
+    whole = F.col("cg0").isNotNull() & F.col("cf0").isNotNull() & (F.size(_full("K")) == 0) & (F.size(_full("T")) == 0)
+    return F.when(whole, F.col("rows")).otherwise(0)
+
+
+def _bare_rows() -> Column:
+    """The rows of a mere kunya or by-name, as :func:`is_bare`; else 0."""
+    bare = F.col("G").isNull() & F.col("F").isNull() & ((F.size(_full("K")) > 0) | (F.size(_full("T")) > 0))
+    return F.when(bare, F.col("rows")).otherwise(0)
+
+
+def _attached_by_rounds(nodes: DataFrame, mean: float, deviation: float) -> DataFrame:
+    """As :func:`attach`. Persons of one N with equal kunya, by-name and number of rows are weighed once."""
+    base = nodes
+    one = lambda x: F.when(F.min(x) == F.max(x), F.min(x)).alias(x)
+    alike = lambda x: F.col("b." + x).isNull() | F.col("p." + x).isNull() | (F.col("b." + x) == F.col("p." + x))
+    while True:
+        rows = base.filter("kind = 'name'").withColumns({"whole": _whole_rows(), "bare": _bare_rows()})
+        known = rows.groupBy("field", "N", "label").agg(one("ck0"), one("ct0"), F.sum("whole").alias("whole"), F.sum("bare").alias("bare"), F.bool_or(F.col("bare") == 0).alias("named")).checkpoint()
+        persons = known.filter("whole > 0").groupBy("field", "N", "ck0", "ct0", "whole").agg(F.count("*").alias("m"), F.min("label").alias("person"))
+        bare = known.filter("not named")
+        kinds = bare.groupBy("field", "N", "ck0", "ct0", "bare").agg(F.min("label").alias("kind"))
+        z = (F.log("b.bare") - F.log("p.whole") - F.lit(mean)) / F.lit(deviation)
+        able = (F.col("b.field") == F.col("p.field")) & (F.col("b.N") == F.col("p.N")) & alike("ck0") & alike("ct0")
+        pairs = kinds.alias("b").join(persons.alias("p"), able).select("kind", "m", "person", (z * z).alias("z2"))
+        least = pairs.groupBy("kind").agg(F.min("z2").alias("low"), F.min_by("person", "z2").alias("to"))
+        sure = F.round(1 / F.sum(F.col("m") * F.exp(-0.5 * (F.col("z2") - F.col("low")))), DIGITS)
+        likely = pairs.join(least, "kind").groupBy("kind", "to").agg(sure.alias("sure")).filter(F.col("sure") >= SURE)
+        same = [F.col("x." + c).eqNullSafe(F.col("k." + c)) for c in ("field", "N", "ck0", "ct0", "bare")]
+        found = bare.alias("x").join(kinds.alias("k"), same).select("x.label", "k.kind").join(likely, "kind")
+        # one at a time for each person, whose facts then grow
+        to = found.groupBy("to").agg(F.min_by("label", F.struct(-F.col("sure"), "label")).alias("old")).checkpoint()
+        if to.isEmpty():
+            return base
+        base = base.join(to, F.col("label") == F.col("old"), "left").withColumn("label", F.coalesce("to", "label")).drop("to", "old").checkpoint()
 
 
 def variant_pairs(values: DataFrame, context: DataFrame | None = None, titles: tuple[str, ...] = ("book",)) -> DataFrame:

@@ -95,3 +95,35 @@ def test_names_of_many_profiles_merge_alike(found):
     again = {(r.field, r.name): r.entity for r in resolve(found[1], large=0).collect()}
     groups = lambda x: {frozenset(k for k in x if x[k] == e) for e in set(x.values())}
     assert groups(of) == groups(again)
+
+
+def test_no_switch_changes_the_result(spark):
+    truth = made_up(7, 60)
+    # kunyas and by-names alone, in numbers that tell whose they are
+    rnd = random.Random(3)
+    rows = [("who", name) for name, p in truth for _ in range(1 + (p % 5) ** 3 * (1 if len(name.split()) > 2 else 2) + rnd.randrange(2))]
+    # several persons of one distinguishing name
+    people = "بشير سليم نجيب وليد جميل رشيد".split()
+    for k, g in enumerate(people):
+        f = people[k - 1]
+        forms = [f"{g} بن {f} الصنعكمي", f"{g[0]}. بن {f} الصنعكمي", f"أبو {people[k - 2]} {g} بن {f} الصنعكمي", f"{g} الصنعكمي", f"{'البناء الدباغ القصاب الحلاق السمان الخراز'.split()[k]} الصنعكمي"]
+        rows += [("who", x) for x in forms for _ in range(4**k // (1 if x == forms[0] else 2) + 1)]
+    values = spark.createDataFrame(rows, "field string, name string")
+    of = {r.name: r.entity for r in resolve(values).collect()}
+    for large in (0, 8):
+        assert {r.name: r.entity for r in resolve(values, large=large).collect()} == of
+
+
+def test_members_of_an_entity_move_together(spark):
+    from riwaya.llm import names as M
+
+    facts = "G array<string>, F array<string>, K array<string>, T array<string>"
+    # 9 and 10 are one at first, then the kunyas that each of them may stand for lead to two entities at once
+    row = lambda node, g, k, t, met: (node, "w", "N", "name", 1, g, None, k, t, met)
+    rows = [row(9, None, ["k1", "k2"], None, ["m"]), row(10, None, ["k3", "k4"], None, ["m"])]
+    rows += [row(3, None, None, ["t1"], ["a", "b"]), row(31, None, ["k1"], None, ["a"]), row(32, None, ["k2"], None, ["b"])]
+    rows += [row(5, None, None, ["t2"], ["c", "d"]), row(51, None, ["k3"], None, ["c"]), row(52, None, ["k4"], None, ["d"])]
+    nodes = spark.createDataFrame(rows, f"node long, field string, N string, kind string, rows long, {facts}, met array<string>")
+    people = M._merged([tuple(r) for r in nodes.orderBy("node").collect()])
+    got = {r.node: r.label for r in M._merged_by_rounds(nodes).collect()}
+    assert got == {p.node: p.label for p in people} and got[9] == got[10] == 3
