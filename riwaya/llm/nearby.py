@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from riwaya.llm import codes as C
 from riwaya.llm.forms import consistent
+from riwaya.session import kept
 
 # ---- fixed values -------------------------------------------------------
 #: Letters unified in the project's matching form, each group to its first letter.
@@ -277,9 +278,12 @@ def near_pairs(df: DataFrame, id_column: str = "id", text: str = "text_ar", memb
     id of each group of equal bags); their members are in :func:`equal_bags`.
     """
     spark = df.sparkSession
-    rows = _bag_rows(df, id_column, text).checkpoint()
+    rows = kept(_bag_rows(df, id_column, text), "bags")
     groups = rows.groupBy("bag1", "bag2").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = rows.join(groups.select("bag1", "bag2", F.col("rep").alias("id")), ["bag1", "bag2", "id"], "left_semi").dropDuplicates(["bag1", "bag2"]).select("id", "bag")
+    # bags are exchanged by id only; as bits, the other two columns aren't taken for keys of the join
+    rep = groups.select(F.col("rep").alias("id"), F.col("bag1").alias("one"), F.col("bag2").alias("two"))
+    own = F.col("bag1").bitwiseXOR(F.col("one")).bitwiseOR(F.col("bag2").bitwiseXOR(F.col("two"))) == 0
+    reps = kept(rows.join(rep, "id").filter(own).dropDuplicates(["id", "bag1", "bag2"]).select("id", "bag"), "reps")
     number, words = rows.agg(F.count("*"), F.coalesce(F.sum(F.size("bag")), F.lit(0))).first()
     texts = groups.count()
     # a word that is in n of the texts is in the table if n * rare >= all: at most rare times the words of a text
@@ -348,8 +352,9 @@ def near_pairs(df: DataFrame, id_column: str = "id", text: str = "text_ar", memb
             yield searched(pa.Table.from_batches(kept))
 
     likely = entered.repartition("key").sortWithinPartitions("key").mapInArrow(search, f"a {kind}, b {kind}").distinct()
-    left = reps.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
-    right = reps.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
+    sent = reps.repartition("id")  # once for both sides
+    left = sent.select(F.col("id").alias("a"), F.col("bag").alias("bag_a"))
+    right = sent.select(F.col("id").alias("b"), F.col("bag").alias("bag_b"))
     common = F.size(F.array_intersect("bag_a", "bag_b"))
     both = likely.join(left, "a").join(right, "b").withColumn("common", common)
     sure = both.filter(F.col("common") * DOWN >= (F.size("bag_a") + F.size("bag_b") - F.col("common")) * UP).select("a", "b")

@@ -53,10 +53,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def kept(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
     """``df``, computed once and read from a folder of its own from now on: compressed and by column, unlike a checkpoint.
 
-    Nothing removes the folder while the application runs; ``folders`` gets it, for :func:`removed`.
+    The folder is removed when the application ends; ``folders`` gets it, for :func:`removed` before that.
     """
     at = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(at)
+    # values that repeat, as hashes of words, are written once for each file
+    df.write.options(**{"compression": "zstd", "parquet.dictionary.page.size": str(8 << 20)}).parquet(at)
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     if folders is not None:
         folders.append(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)

@@ -104,3 +104,16 @@ def test_representatives_and_members_give_all_pairs(spark):
     near = {tuple(r) for r in nearby.near_pairs(df, members=False).collect()}
     made = {(a, b) for a in rep for b in rep if a < b and (rep[a] == rep[b] or (min(rep[a], rep[b]), max(rep[a], rep[b])) in near)}
     assert made == {tuple(r) for r in nearby.near_pairs(df).collect()}
+
+
+def test_bags_are_exchanged_once_for_both_sides(spark):
+    texts = texts_with_edits(9, 300, 200, 0.2)
+    df = spark.createDataFrame([*enumerate(texts), (7, texts[7]), (900, texts[7])], "id long, text_ar string").repartition(5)
+    pairs = nearby.near_pairs(df, members=False)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "ReusedExchange" in plan and "bag1" not in plan, "representatives are found once, and sent once"
+    assert {tuple(r) for r in nearby.near_pairs(df).collect()} == brute(texts) | {tuple(sorted((x, 900))) for p in [*brute(texts), (7, 7)] if 7 in p for x in [p[0] + p[1] - 7]}
