@@ -146,7 +146,7 @@ def find_by_name(titles: DataFrame, docs: DataFrame) -> DataFrame:
     return naming_pairs(named_docs(titles, docs), titles).select("item", "doc", "named", "attested", "title_source")
 
 
-def find_links(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int = MIN_WORDS, places: DataFrame | None = None, folders: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def find_links(items: DataFrame, docs: DataFrame, titles: DataFrame, least: int = MIN_WORDS, places: DataFrame | None = None, folders: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """What links rest on: quotations with ``also`` (other places of the phrase), and :func:`named_docs` with ``quoted`` (items that the document quotes).
 
     Further columns of ``docs`` stay in both. Quotations are found once; where

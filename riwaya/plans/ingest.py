@@ -68,7 +68,7 @@ def _once(df: DataFrame, table: str) -> DataFrame:
     return df.dropDuplicates(KEYS[table])
 
 
-def build(spark: SparkSession, landed: Landed, verses: DataFrame | None = None, editions: list[str] | None = None, base_url: str = "", folders: list[str] | None = None) -> dict[str, DataFrame]:
+def build(spark: SparkSession, landed: Landed, verses: DataFrame | None = None, editions: list[str] | None = None, base_url: str = "", folders: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """The tables source, unit, link and grading, and the report, for ``verses`` (surah, ayah); for all where none are given.
 
     A narration becomes a unit only if a verse is linked to it. Links set by hand
@@ -77,9 +77,10 @@ def build(spark: SparkSession, landed: Landed, verses: DataFrame | None = None,
 
     All tables are distinct by key. Links aren't stored here, and nothing of
     their number is exchanged: they are very many where titles are frequent.
-    ``folders`` gets the folders that the tables rest on.
+    ``folders`` gets the folders that the tables rest on, by name; links and the
+    report don't rest on "corpus" and "linked".
     """
-    folders = [] if folders is None else folders
+    folders = {} if folders is None else folders
     quran = readers.read_quran(spark, landed.quran).dropDuplicates(["surah", "ayah"])
     asked = quran if verses is None else quran.join(verses.select("surah", "ayah").distinct(), ["surah", "ayah"], "left_semi")
     url = lambda *parts: F.concat(F.lit(base_url), *parts)
@@ -168,9 +169,11 @@ def ingest(spark: SparkSession, landed: Landed, out: str, verses: DataFrame | No
 
     Units and sources are updated, links and rulings that are there stay as they are.
     """
-    folders: list[str] = []
+    folders: dict[str, str] = {}
     made = build(spark, landed, verses, editions, base_url, folders)
-    for name in ("source", "unit", "link", "grading"):
+    for name in ("source", "unit", "grading", "link"):
+        if name == "link":
+            removed(spark, folders, "corpus", "linked")
         fresh, old = made[name], store.read_published(spark, f"{out}/{name}")
         # fresh rows are distinct by key, so the first version takes them as they are
         if old is not None and name in ("source", "unit"):

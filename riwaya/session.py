@@ -50,7 +50,7 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/{name}-{unique}"
 
 
-def kept(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFrame:
+def kept(df: DataFrame, name: str, folders: dict[str, str] | None = None) -> DataFrame:
     """``df``, computed once and read from a folder of its own from now on: compressed and by column, unlike a checkpoint.
 
     The folder is removed when the application ends; ``folders`` gets it, for :func:`removed` before that.
@@ -61,13 +61,13 @@ def kept(df: DataFrame, name: str, folders: list[str] | None = None) -> DataFram
     path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     if folders is not None:
-        folders.append(at)
+        folders[name] = at
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def removed(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders that :func:`kept` made."""
-    for at in folders:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+def removed(spark: SparkSession, folders: dict[str, str], *names: str) -> None:
+    """Delete folders that :func:`kept` made (all where none are named), and let go of shuffle files that nothing uses any more."""
+    for name in names or list(folders):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders.pop(name))
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    folders.clear()
+    spark.sparkContext._jvm.System.gc()
